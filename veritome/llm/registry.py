@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from veritome.llm import quality_rules, url_filters
+from veritome.llm import packing, quality_rules, url_filters
 
 MODULES = {
     "op1_quality_rules": quality_rules,
+    "op5_packing": packing,
     "op8_url_filters": url_filters,
 }
 
