@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from veritome.llm import packing, quality_classifier, quality_rules, toxicity, url_filters
+from veritome.llm import lm_scoring, packing, quality_classifier, quality_rules, toxicity, url_filters
 
 MODULES = {
     "op1_quality_rules": quality_rules,
     "op4_toxicity": toxicity,
     "op5_packing": packing,
+    "op7_lm_scoring": lm_scoring,
     "op8_url_filters": url_filters,
     "op9_quality_classifier": quality_classifier,
 }
