@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from veritome.llm import lm_scoring, packing, quality_classifier, quality_rules, toxicity, url_filters
+from veritome.llm import decontamination, lm_scoring, packing, quality_classifier, quality_rules, toxicity, url_filters
 
 MODULES = {
     "op1_quality_rules": quality_rules,
@@ -11,6 +11,7 @@ MODULES = {
     "op7_lm_scoring": lm_scoring,
     "op8_url_filters": url_filters,
     "op9_quality_classifier": quality_classifier,
+    "op10_decontamination": decontamination,
 }
 
 

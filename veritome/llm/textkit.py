@@ -93,9 +93,9 @@ def slices(data: np.ndarray, offs: np.ndarray, most: int = SLICE_BYTES) -> Itera
         lo = hi
 
 
-def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and row of every word; a row's end also ends a word."""
-    is_word = IS_WORD[data]
+def words(data: np.ndarray, offs: np.ndarray, table: np.ndarray = IS_WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and row of every word; a row's end also ends a word.  ``table`` tells word bytes."""
+    is_word = table[data]
     cut = offs[(offs > 0) & (offs < len(data))]
     first = is_word.copy()
     first[1:] &= ~is_word[:-1]
