@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from veritome.llm import decontamination, lm_scoring, packing, personal_data, quality_classifier, quality_rules, toxicity, url_filters
+from veritome.llm import decontamination, jaccard_join, lm_scoring, packing, personal_data, quality_classifier, quality_rules, toxicity, url_filters
 
 MODULES = {
     "op1_quality_rules": quality_rules,
     "op2_personal_data": personal_data,
+    "op3_jaccard_join": jaccard_join,
     "op4_toxicity": toxicity,
     "op5_packing": packing,
     "op7_lm_scoring": lm_scoring,
