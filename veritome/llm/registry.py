@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from veritome.llm import decontamination, jaccard_join, lm_scoring, packing, personal_data, quality_classifier, quality_rules, toxicity, url_filters
+from veritome.llm import decontamination, jaccard_join, lm_scoring, packing, personal_data, quality_classifier, quality_rules, suffix_dedup, toxicity, url_filters
 
 MODULES = {
     "op1_quality_rules": quality_rules,
@@ -10,6 +10,7 @@ MODULES = {
     "op3_jaccard_join": jaccard_join,
     "op4_toxicity": toxicity,
     "op5_packing": packing,
+    "op6_suffix_dedup": suffix_dedup,
     "op7_lm_scoring": lm_scoring,
     "op8_url_filters": url_filters,
     "op9_quality_classifier": quality_classifier,
