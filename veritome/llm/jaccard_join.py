@@ -7,19 +7,20 @@ words make one shingle).  Equal sets form one node, found by a hash of the set.
    sketch of fixed size; estimates order shingles from rare to common.  Any order
    gives right results, the estimates only keep common shingles out of prefixes.
 2. Two sets that reach the threshold share a shingle among the first
-   ``n - ceil(t n) + 1`` of each, so only these are shuffled, keyed by shingle.
-   Length and positional filters drop pairs before anything else is read.
+   ``n - ceil(t n) + 1`` of each.  Prefix shingles of one set alone are left out by
+   a filter (``repeats``), the others are shuffled, keyed by shingle.  Length and
+   positional filters drop pairs before any set is read.
 3. Pairs are verified once: the suffix filter bounds the overlap from the sizes of
    the parts between pivots, then the overlap is counted.
 
 For components not all pairs are needed.  Each shingle first pairs its nodes with
-three of them only (smallest, largest, one by hash).  Nodes of one shingle that
+four of them only (smallest, largest, one by hash, the most typical).  Nodes of one shingle that
 these links leave in different components are then all paired, so no link that
 could join two components goes untested, while a group of thousands of near
 copies costs a few pairs a member.  ``similar_pairs`` gives every pair instead.
 
-Sets travel only for nodes that share a prefix shingle, picked by a Bloom filter
-of bounded size (a fuller one lets more sets through and changes no result).
+Sets travel only for nodes in pairs, picked by a Bloom filter of bounded size (a
+fuller one lets more sets through and changes no result).
 
 Defined results: null texts and texts without words have no shingles, link with
 nothing and are their own component; every input row gives one row, repeated ids
@@ -37,15 +38,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veritome.llm import scratch
+from veritome.llm import repeats, scratch
 from veritome.llm import textkit as K
 from veritome.llm.components import components
 
 SHINGLE, PERCENT = 5, 80
 #: Counters of the sketch, and the rows in which a task's sketch travels.
 COUNTERS, CHUNKS = 1 << 18, 64
-#: Bits of the Bloom filter: 16 a node, within these bounds.
-BLOOM_BITS = (1 << 16, 1 << 27)
 
 
 def shingles(data: np.ndarray, offs: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -152,53 +151,94 @@ def _sets(docs: DataFrame, rarity: np.ndarray, text_col: str, schema: str, emit)
 
 
 def _prefixes(docs: DataFrame, rarity: np.ndarray, text_col: str, percent: int) -> DataFrame:
+    """(node, n, centre, tokens): a set's size, its mean rarity and its prefix."""
+
     def emit(fresh):
         sizes = np.array([len(t) for _, t in fresh])
         keep = sizes - needed(sizes, percent) + 1
+        centre = [int(100 * float((t >> K.U64(48)).mean())) for _, t in fresh]
         yield pa.RecordBatch.from_arrays([
-            pa.array(np.concatenate([t[:k] for (_, t), k in zip(fresh, keep)]).view(np.int64)),
-            pa.array(np.repeat(np.array([n for n, _ in fresh], np.int64), keep)),
-            pa.array(np.repeat(sizes, keep).astype(np.int32)),
-            pa.array(np.concatenate([np.arange(k, dtype=np.int32) for k in keep])),
-        ], names=["token", "node", "n", "pos"])
+            pa.array(np.array([n for n, _ in fresh], np.int64)), pa.array(sizes.astype(np.int32)), pa.array(centre, pa.int32()),
+            pa.array([t[:k].tobytes() for (_, t), k in zip(fresh, keep)], pa.binary()),
+        ], names=["node", "n", "centre", "tokens"])
+
+    return _sets(docs, rarity, text_col, "node long, n int, centre int, tokens binary", emit)
+
+
+def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Nodes, sizes, centres, all prefix tokens and the number of these a node."""
+    blobs = batch.column(3).to_pylist()
+    return batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy(), np.frombuffer(b"".join(blobs), np.uint64), np.array([len(b) // 8 for b in blobs], np.int64)
+
+
+def _shared_filter(prefixes: DataFrame) -> repeats.Filter:
+    """The filter of prefix tokens that two nodes have."""
+    count = repeats.shards(prefixes.sparkSession)
+
+    def run(batches):
+        held, size = [], 0
+
+        def flush():
+            if held:
+                keys, places = (np.concatenate(x) for x in zip(*held))
+                held.clear()
+                yield from repeats.by_shard(*repeats.distinct(keys, places), count)
 
-    return _sets(docs, rarity, text_col, "token long, node long, n int, pos int", emit)
+        for batch in batches:
+            node, _, _, tokens, many = _flat(batch)
+            held.append((tokens, np.repeat(node, many)))
+            size += len(tokens)
+            if size > 1 << 22:
+                yield from flush()
+                size = 0
+        yield from flush()
+
+    return repeats.repeated_filter(prefixes.mapInArrow(run, repeats.SHARD_SCHEMA))
 
 
-def _bloom(nodes: DataFrame) -> tuple[np.ndarray, int]:
-    bits = 1 << int(np.clip(16 * max(1, nodes.count()) - 1, *BLOOM_BITS)).bit_length()
-    bits = min(bits, BLOOM_BITS[1])
+def _entries(prefixes: DataFrame) -> DataFrame:
+    """A row a prefix token that other nodes may share, with its place in the set."""
+    shared = prefixes.sparkSession.sparkContext.broadcast(_shared_filter(prefixes))
 
-    def gather(batches):
-        mask = np.zeros(bits, bool)
+    def run(batches):
         for batch in batches:
-            for at in bloom_bits(batch.column(0).to_numpy(), bits):
-                mask[at] = True
-        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(np.packbits(mask).tobytes(), 1)], pa.binary())], names=["mask"])
+            node, n, centre, tokens, many = _flat(batch)
+            owner = np.repeat(np.arange(len(node)), many)
+            keep = np.flatnonzero(shared.value.passes(tokens))
+            first = np.cumsum(many) - many
+            mine = owner[keep]
+            yield pa.RecordBatch.from_arrays([
+                pa.array(tokens[keep].view(np.int64)), pa.array(node[mine]), pa.array(n[mine]),
+                pa.array((keep - first[mine]).astype(np.int32)), pa.array(centre[mine]),
+            ], names=["token", "node", "n", "pos", "centre"])
+
+    return prefixes.mapInArrow(run, "token long, node long, n int, pos int, centre int")
+
 
-    out = np.zeros(bits // 8, np.uint8)
-    for row in nodes.select("node").coalesce(32).mapInArrow(gather, "mask binary").toLocalIterator():
-        out |= np.frombuffer(zlib.decompress(row.mask), np.uint8)
-    return out, bits
+_LOW48 = K.U64((1 << 48) - 1)
 
 
-def bloom_bits(nodes: np.ndarray, bits: int) -> list[np.ndarray]:
-    u = nodes.view(np.uint64)
-    return [(K.mix(u + K.U64(k)) & K.U64(bits - 1)).astype(np.int64) for k in (1, 2, 3, 4)]
+def pack_set(tokens: np.ndarray) -> bytes:
+    """A set as six bytes a shingle, ascending by hash."""
+    return np.sort(tokens & _LOW48).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
 
 
-def _full_sets(docs: DataFrame, rarity: np.ndarray, text_col: str, nodes: DataFrame) -> DataFrame:
-    """(node, set) of the nodes that the filter lets through."""
-    mask, bits = _bloom(nodes)
-    shared = docs.sparkSession.sparkContext.broadcast(mask)
+def unpack_set(blob: bytes) -> np.ndarray:
+    wide = np.zeros((len(blob) // 6, 8), np.uint8)
+    wide[:, :6] = np.frombuffer(blob, np.uint8).reshape(-1, 6)
+    return wide.view(np.uint64).ravel()
+
+
+def _full_sets(docs: DataFrame, rarity: np.ndarray, text_col: str, pairs: DataFrame) -> DataFrame:
+    """(node, set) of the nodes in pairs, and of the few others that the filter lets through."""
+    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    shared = docs.sparkSession.sparkContext.broadcast(repeats.key_filter(nodes))
 
     def emit(fresh):
-        ids = np.array([n for n, _ in fresh], np.int64)
-        ok = np.ones(len(ids), bool)
-        for at in bloom_bits(ids, bits):
-            ok &= (shared.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
+        ok = shared.value.passes(np.array([n for n, _ in fresh], np.int64).view(np.uint64))
         if ok.any():
-            yield pa.RecordBatch.from_arrays([pa.array(ids[ok]), pa.array([t.tobytes() for (_, t), k in zip(fresh, ok) if k], pa.binary())], names=["node", "set"])
+            some = [x for x, k in zip(fresh, ok) if k]
+            yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in some], pa.int64()), pa.array([pack_set(t) for _, t in some], pa.binary())], names=["node", "set"])
 
     return _sets(docs, rarity, text_col, "node long, set binary", emit).groupBy("node").agg(F.first("set").alias("set"))
 
@@ -223,38 +263,49 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            ok = [overlap_reaches(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            ok = [overlap_reaches(unpack_set(x), unpack_set(y), percent) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
 
     left = pairs.join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b")
     return left.join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a").select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
 
 
-def _may_link(n_x, pos_x, n_y, pos_y, percent: int):
-    """Length and positional filters for two sets that share a shingle at these places."""
-    shared = F.least(pos_x, pos_y) + 1 + F.least(n_x - pos_x, n_y - pos_y) - 1
-    return (100 * F.least(n_x, n_y) >= percent * F.greatest(n_x, n_y)) & ((100 + percent) * shared >= percent * (n_x + n_y))
+def _may_link(x: str, y: str, percent: int):
+    """Length and positional filters for two entries of one token.
+
+    The overlap is at most what follows the first common token in either set, so
+    the entry of that token passes for every pair that reaches the threshold;
+    entries of later tokens need not.
+    """
+    c = lambda side, name: F.col(f"{side}{name}")
+    most = F.least(c(x, "n") - c(x, "pos"), c(y, "n") - c(y, "pos"))
+    return (100 * F.least(c(x, "n"), c(y, "n")) >= percent * F.greatest(c(x, "n"), c(y, "n"))) & ((100 + percent) * most >= percent * (c(x, "n") + c(y, "n")))
 
 
 class Join:
     """The tables of one join; each is written once and read by the steps after it."""
 
     def __init__(self, docs: DataFrame, percent: int, id_col: str, text_col: str) -> None:
-        self.percent = percent
-        self.profile = scratch.cut(_profile(docs, id_col, text_col))
-        self.documents = self.profile.where("chunk is null").select("id", "n", "node")
-        self.rarity = _rarity(self.profile)
-        entries = scratch.cut(_prefixes(docs, self.rarity, text_col, percent))
-        me = F.struct("n", "node", "pos")
-        hubs = entries.groupBy("token").agg(F.min(me).alias("low"), F.max(me).alias("high"), F.min(F.struct(F.xxhash64("node").alias("h"), "n", "node", "pos")).alias("any")).where("low.node <> high.node or any.node <> low.node")
-        self.shared = scratch.cut(entries.join(hubs, "token").select("token", "node", "n", "pos", F.array("low", "high", F.struct("any.n", "any.node", "any.pos")).alias("hubs")))
+        self.docs, self.percent, self.text_col = docs, percent, text_col
+        profile = scratch.cut(_profile(docs, id_col, text_col))
+        self.documents = profile.where("chunk is null").select("id", "n", "node")
+        self.rarity = _rarity(profile)
+        prefixes = scratch.cut(_prefixes(docs, self.rarity, text_col, percent))
+        entries = scratch.cut(_entries(prefixes))
+        scratch.drop(prefixes)
+        # The hub that serves most is the most typical set: near copies differ from it by their own edits only.
+        me = ["node", "n", "pos"]
+        hubs = entries.groupBy("token").agg(
+            F.min(F.struct(F.col("n").alias("h"), *me)).alias("low"), F.max(F.struct(F.col("n").alias("h"), *me)).alias("high"), F.min(F.struct(F.xxhash64("node").alias("h"), *me)).alias("any"), F.max(F.struct("centre", *me)).alias("typical")
+        ).where("low.node <> high.node or any.node <> low.node or typical.node <> low.node")
+        each = [F.struct(*(F.col(f"{h}.{c}").alias(c) for c in me)) for h in ("low", "high", "any", "typical")]
+        self.shared = scratch.cut(entries.join(hubs.select("token", F.array_distinct(F.array(*each)).alias("hubs")), "token"))
         scratch.drop(entries)
         scratch.free(docs.sparkSession)
-        self.sets = scratch.cut(_full_sets(docs, self.rarity, text_col, self.shared.select("node").distinct()))
 
     def star_pairs(self) -> DataFrame:
-        hub = self.shared.select("node", "n", "pos", F.explode("hubs").alias("hub")).where("node <> hub.node").where(_may_link(F.col("n"), F.col("pos"), F.col("hub.n"), F.col("hub.pos"), self.percent))
-        return hub.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
+        met = self.shared.select("node", "n", "pos", F.explode("hubs").alias("hub")).where("node <> hub.node").where(_may_link("", "hub.", self.percent))
+        return met.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
 
     def all_pairs(self, labels: DataFrame | None = None) -> DataFrame:
         """Pairs that share a prefix shingle; with labels only those of different components."""
@@ -265,26 +316,33 @@ class Join:
             rows = scratch.cut(rows.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")))
             mixed = scratch.cut(rows.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token"))
             rows = scratch.cut(rows.join(mixed, "token", "left_semi"))
-        x, y = (rows.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "pos", "component"))) for s in "xy")
-        meet = x.join(y, (x.token == y.token) & (F.col("node_x") < F.col("node_y")) & (F.col("component_x") != F.col("component_y")) & _may_link(F.col("n_x"), F.col("pos_x"), F.col("n_y"), F.col("pos_y"), self.percent))
-        return meet.select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct()
+        x, y = (rows.select("token", *(F.col(c).alias(f"{s}_{c}") for c in ("node", "n", "pos", "component"))) for s in "xy")
+        meet = x.join(y, (x.token == y.token) & (F.col("x_node") < F.col("y_node")) & (F.col("x_component") != F.col("y_component")) & _may_link("x_", "y_", self.percent))
+        return meet.select(F.col("x_node").alias("a"), F.col("y_node").alias("b")).distinct()
+
+    def verify(self, pairs: DataFrame) -> DataFrame:
+        sets = scratch.cut(_full_sets(self.docs, self.rarity, self.text_col, pairs))
+        links = scratch.cut(_verify(pairs, sets, self.percent))
+        scratch.drop(sets)
+        scratch.free(self.docs.sparkSession)
+        return links
 
     def labels(self) -> DataFrame:
         """(node, component) of all nodes with a link."""
         tested = scratch.cut(self.star_pairs())
-        links = scratch.cut(_verify(tested, self.sets, self.percent))
+        links = self.verify(tested)
         first = scratch.cut(components(links))
         rest = scratch.cut(self.all_pairs(first).join(tested, ["a", "b"], "left_anti"))
-        more = scratch.cut(_verify(rest, self.sets, self.percent))
-        if more.isEmpty():
+        if rest.isEmpty():
             return first
-        return scratch.cut(components(links.unionByName(more)))
+        more = self.verify(rest)
+        return first if more.isEmpty() else scratch.cut(components(links.unionByName(more)))
 
 
 def similar_pairs(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """Every link between different sets as (a, b) nodes, and (id, n, node) of the documents."""
     join = Join(docs, percent, id_col, text_col)
-    return _verify(scratch.cut(join.all_pairs()), join.sets, percent), join.documents
+    return join.verify(scratch.cut(join.all_pairs())), join.documents
 
 
 def jaccard_components(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
