@@ -8,8 +8,9 @@ words make one shingle).  Equal sets form one node, found by a hash of the set.
    gives right results, the estimates only keep common shingles out of prefixes.
 2. Two sets that reach the threshold share a shingle among the first
    ``n - ceil(t n) + 1`` of each.  Prefix shingles of one set alone are left out by
-   a filter (``repeats``), the others are shuffled, keyed by shingle.  Length and
-   positional filters drop pairs before any set is read.
+   a filter (``repeats``), the others are shuffled, keyed by shingle; of shingles
+   with the same holders the first is kept.  Length and positional filters drop
+   pairs before any set is read.
 3. Pairs are verified once: the suffix filter bounds the overlap from the sizes of
    the parts between pivots, then the overlap is counted.
 
@@ -296,10 +297,15 @@ class Join:
         # The hub that serves most is the most typical set: near copies differ from it by their own edits only.
         me = ["node", "n", "pos"]
         hubs = entries.groupBy("token").agg(
-            F.min(F.struct(F.col("n").alias("h"), *me)).alias("low"), F.max(F.struct(F.col("n").alias("h"), *me)).alias("high"), F.min(F.struct(F.xxhash64("node").alias("h"), *me)).alias("any"), F.max(F.struct("centre", *me)).alias("typical")
-        ).where("low.node <> high.node or any.node <> low.node or typical.node <> low.node")
+            F.min(F.struct(F.col("n").alias("h"), *me)).alias("low"), F.max(F.struct(F.col("n").alias("h"), *me)).alias("high"),
+            F.min(F.struct(F.xxhash64("node").alias("h"), *me)).alias("any"), F.max(F.struct("centre", *me)).alias("typical"),
+            F.count("*").alias("holders"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"),
+        ).where("holders > 1")
+        # Of shingles with the same holders the first is enough: it comes first in each of these sets.
         each = [F.struct(*(F.col(f"{h}.{c}").alias(c) for c in me)) for h in ("low", "high", "any", "typical")]
-        self.shared = scratch.cut(entries.join(hubs.select("token", F.array_distinct(F.array(*each)).alias("hubs")), "token"))
+        hubs = hubs.select("token", F.array_distinct(F.array(*each)).alias("hubs"), "holders", "x", "y")
+        firsts = hubs.groupBy("holders", "x", "y").agg(F.min(F.struct("token", "hubs")).alias("first")).select("first.*")
+        self.shared = scratch.cut(entries.join(firsts, "token"))
         scratch.drop(entries)
         scratch.free(docs.sparkSession)
 
