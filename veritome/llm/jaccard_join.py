@@ -31,10 +31,9 @@ component of null ids alone is null.  Other input columns are not read.
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -45,7 +44,10 @@ from veritome.llm.components import components
 
 SHINGLE, PERCENT = 5, 80
 #: Counters of the sketch, and the rows in which a task's sketch travels.
-COUNTERS, CHUNKS = 1 << 18, 64
+COUNTER_BITS, CHUNKS = 24, 256
+COUNTERS = 1 << COUNTER_BITS
+_SHIFT = K.U64(64 - COUNTER_BITS)
+_LOW48 = K.U64((1 << 48) - 1)
 
 
 def shingles(data: np.ndarray, offs: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -95,9 +97,9 @@ def _profile(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 for r, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist())):
                     one = np.unique(hashes[a:b])
                     sizes[r], nodes[r] = len(one), node_of(one)
-                counters += np.bincount((hashes >> K.U64(46)).astype(np.int64), minlength=COUNTERS).astype(np.uint32)
+                np.add.at(counters, (hashes >> _SHIFT).astype(np.int64), np.uint32(1))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(sizes), pa.array(nodes), pa.nulls(hi - lo, pa.int32()), pa.nulls(hi - lo, pa.binary())], names=schema.names)
-        blobs = [zlib.compress(c.tobytes(), 1) for c in np.split(counters, CHUNKS)] if counters.any() else []
+        blobs = [zstandard.compress(c.tobytes(), 1) for c in np.split(counters, CHUNKS)] if counters.any() else []
         if blobs:
             yield pa.RecordBatch.from_arrays([pa.nulls(CHUNKS, id_type), pa.nulls(CHUNKS, pa.int64()), pa.nulls(CHUNKS, pa.int64()), pa.array(range(CHUNKS), pa.int32()), pa.array(blobs, pa.binary())], names=schema.names)
 
@@ -105,26 +107,28 @@ def _profile(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _rarity(profile: DataFrame) -> np.ndarray:
-    """16-bit rarity of each counter: about eight steps a doubling of the count."""
+    """16-bit rarity of each counter: eight steps a doubling of the count."""
 
     def add(batches):
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for chunk, blob in zip(*(batch.column(i).to_pylist() for i in range(2))):
-                sums[chunk] = sums.get(chunk, 0) + np.frombuffer(zlib.decompress(blob), np.uint32).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], names=["chunk", "sketch"])
+                part = np.frombuffer(zstandard.decompress(blob), np.uint32)
+                sums[chunk] = sums[chunk] + part if chunk in sums else part.astype(np.int64)
+        levels = [np.round(8 * np.log2(1.0 + v)).astype(np.uint16).tobytes() for v in sums.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(levels, pa.binary())], names=["chunk", "levels"])
 
-    merged = profile.where("chunk is not null").select("chunk", "sketch").repartition(CHUNKS, "chunk").mapInArrow(add, "chunk int, sketch binary")
-    total = np.zeros((CHUNKS, COUNTERS // CHUNKS), np.int64)
+    merged = profile.where("chunk is not null").select("chunk", "sketch").repartition(CHUNKS, "chunk").mapInArrow(add, "chunk int, levels binary")
+    total = np.zeros((CHUNKS, COUNTERS // CHUNKS), np.uint16)
     for row in merged.collect():  # a row a chunk
-        total[row.chunk] += np.frombuffer(row.sketch, np.int64)
-    return np.round(8 * np.log2(1.0 + total.ravel())).astype(np.uint64)
+        total[row.chunk] = np.frombuffer(row.levels, np.uint16)
+    return total.ravel()
 
 
 def ordered_sets(data: np.ndarray, offs: np.ndarray, rarity: np.ndarray) -> list[tuple[int, np.ndarray]]:
     """Node and tokens of each row; a token is its shingle's rarity, then 48 bits of its hash, in ascending order."""
     hashes, edges = shingles(data, offs)
-    tokens = (rarity[(hashes >> K.U64(46)).astype(np.int64)] << K.U64(48)) | (hashes & K.U64((1 << 48) - 1))
+    tokens = (rarity[(hashes >> _SHIFT).astype(np.int64)].astype(np.uint64) << K.U64(48)) | (hashes & _LOW48)
     out = []
     for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
         out.append((node_of(np.unique(hashes[a:b])), np.unique(tokens[a:b])))
@@ -216,9 +220,6 @@ def _entries(prefixes: DataFrame) -> DataFrame:
     return prefixes.mapInArrow(run, "token long, node long, n int, pos int, centre int")
 
 
-_LOW48 = K.U64((1 << 48) - 1)
-
-
 def pack_set(tokens: np.ndarray) -> bytes:
     """A set as six bytes a shingle, ascending by hash."""
     return np.sort(tokens & _LOW48).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
