@@ -290,11 +290,14 @@ class Join:
     def __init__(self, docs: DataFrame, percent: int, id_col: str, text_col: str) -> None:
         self.docs, self.percent, self.text_col = docs, percent, text_col
         profile = scratch.cut(_profile(docs, id_col, text_col))
-        self.documents = profile.where("chunk is null").select("id", "n", "node")
+        self.documents = scratch.cut(profile.where("chunk is null").select("id", "n", "node"))
         self.rarity = _rarity(profile)
+        scratch.drop(profile)
+        scratch.free(docs.sparkSession)
         prefixes = scratch.cut(_prefixes(docs, self.rarity, text_col, percent))
         entries = scratch.cut(_entries(prefixes))
         scratch.drop(prefixes)
+        scratch.free(docs.sparkSession)
         # The hub that serves most is the most typical set: near copies differ from it by their own edits only.
         me = ["node", "n", "pos"]
         hubs = entries.groupBy("token").agg(
@@ -329,6 +332,7 @@ class Join:
 
     def verify(self, pairs: DataFrame) -> DataFrame:
         sets = scratch.cut(_full_sets(self.docs, self.rarity, self.text_col, pairs))
+        scratch.free(self.docs.sparkSession)
         links = scratch.cut(_verify(pairs, sets, self.percent))
         scratch.drop(sets)
         scratch.free(self.docs.sparkSession)
