@@ -2,7 +2,7 @@
 
 Two equal 50-byte strings have the same minimizer, the least hash among their
 k-grams.  Runs of windows with one minimizer occurrence are cut from the texts
-("segments", at most 88 bytes), and only segments with equal minimizers need to
+("segments", at most 80 bytes), and only segments with equal minimizers need to
 be compared, so the suffixes of the corpus are sorted in independent shards:
 
 1. One pass collects minimizers; ``repeats`` gives those of two places.
@@ -40,10 +40,10 @@ from veritome.llm import repeats, scratch
 from veritome.llm import textkit as K
 from veritome.llm.induced_sort import sort_suffixes
 
-LENGTH, GRAM = 50, 12
+LENGTH, GRAM = 50, 20
 SPAN = LENGTH - GRAM + 1
 #: Bytes of text between hand-overs of a task, and of distinct segments that are sorted as one string.
-FLUSH_BYTES, SORT_BYTES = 24 << 20, 2 << 20
+FLUSH_BYTES, SORT_BYTES = 16 << 20, 1 << 20
 LAST = (1 << 63) - 1
 _LOW24 = K.U64((1 << 24) - 1)
 
