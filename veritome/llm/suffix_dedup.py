@@ -43,7 +43,7 @@ from veritome.llm.induced_sort import sort_suffixes
 LENGTH, GRAM = 50, 20
 SPAN = LENGTH - GRAM + 1
 #: Bytes of text between hand-overs of a task, and of distinct segments that are sorted as one string.
-FLUSH_BYTES, SORT_BYTES = 16 << 20, 1 << 20
+FLUSH_BYTES, SORT_BYTES = 8 << 20, 512 << 10
 LAST = (1 << 63) - 1
 _LOW24 = K.U64((1 << 24) - 1)
 
@@ -123,7 +123,7 @@ def _minimizers(narrow: DataFrame, shards: int) -> DataFrame:
                 _, _, keys, row = segments(part, at)
                 held.append((keys, rank[lo + row]))
                 size += len(keys)
-                if size > 1 << 21:
+                if size > 1 << 20:
                     yield from flush()
                     size = 0
         yield from flush()
@@ -354,38 +354,56 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return found.unionByName(sent.where("shard is null").select("rank", "hash", "start", "end"))
 
 
+def _cut_out(text: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[int, int, bytes]:
+    """Bytes removed, runs, and the bytes that stay."""
+    end, removed, runs, kept = 0, 0, 0, []
+    zero = np.zeros(len(starts), np.int64)
+    for _, _, first, last in _joined(zero, zero, starts, ends):
+        for x, y in zip(first.tolist(), last.tolist()):
+            kept.append(text[end:x])
+            end, removed, runs = y, removed + y - x, runs + 1
+    kept.append(text[end:])
+    return removed, runs, b"".join(kept)
+
+
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
     """id, n_bytes, n_removed, n_spans, kept_sha256 of every row; with ``keep_text`` the bytes that stay."""
     spans = scratch.cut(repeated_spans(docs, id_col, text_col))
-    lists = spans.groupBy("rank", "hash").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    rows = _narrow(docs, id_col, text_col).join(lists, ["rank", "hash"], "left")
-    id_type = docs.schema[id_col].dataType
-    fields = [T.StructField("rank", T.LongType()), T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("kept_sha256", T.StringType())]
+    # Spans and texts meet in one shuffle, spans first; a document's rows are read in a row.
+    rows = spans.select("rank", "hash", "start", "end", F.lit(None).cast("string").alias("text")).unionByName(_narrow(docs, id_col, text_col).select("rank", "hash", F.lit(None).cast("long").alias("start"), F.lit(None).cast("long").alias("end"), "text"))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(parts, "rank", "hash").sortWithinPartitions("rank", "hash", F.col("start").asc_nulls_last())
+    kinds = [("rank", T.LongType(), pa.int64()), ("n_bytes", T.LongType(), pa.int64()), ("n_removed", T.LongType(), pa.int64()), ("n_spans", T.LongType(), pa.int64()), ("kept_sha256", T.StringType(), pa.string())]
     if keep_text:
-        fields.append(T.StructField("kept", T.BinaryType()))
+        kinds.append(("kept", T.BinaryType(), pa.binary()))
+    names = [k for k, _, _ in kinds]
 
     def run(batches):
+        owner, held = None, []  # spans of the document that comes next, which may lie in an earlier batch
         for batch in batches:
-            data, offs = K.buffers(batch.column(1))
-            raw, lists, out = data.tobytes(), batch.column(2), {f.name: [] for f in fields[1:]}
-            for r, (a, b) in enumerate(zip(offs[:-1].tolist(), offs[1:].tolist())):
-                text, end, removed, runs, kept = raw[a:b], 0, 0, 0, []
-                if lists[r].is_valid:
-                    part = lists[r].values
-                    first, last = part.field(0).to_numpy(), part.field(1).to_numpy()
-                    zero = np.zeros(len(first), np.int64)
-                    for _, _, starts, ends in _joined(zero, zero, first, last):
-                        for x, y in zip(starts.tolist(), ends.tolist()):
-                            kept.append(text[end:x])
-                            end, removed, runs = y, removed + y - x, runs + 1
-                kept.append(text[end:])
-                rest = b"".join(kept)
-                for k, v in zip(out, (b - a, removed, runs, hashlib.sha256(rest).hexdigest(), rest)):
+            n = batch.num_rows
+            rank, hashes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            start, end = (batch.column(k).fill_null(-1).to_numpy() for k in (2, 3))
+            data, offs = K.buffers(batch.column(4))
+            raw, out, at = data.tobytes(), {k: [] for k in names}, 0
+            for r in np.flatnonzero(start < 0).tolist():
+                if owner != (rank[r], hashes[r]):
+                    owner, held = (rank[r], hashes[r]), []
+                if r > at:
+                    held.append((start[at:r], end[at:r]))
+                at = r + 1
+                text = raw[offs[r] : offs[r + 1]]
+                removed, runs, kept = _cut_out(text, *(np.concatenate(x) for x in zip(*held))) if held else (0, 0, text)
+                for k, v in zip(names, (rank[r], len(text), removed, runs, hashlib.sha256(kept).hexdigest(), kept)):
                     out[k].append(v)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(out[f.name], kind) for f, kind in zip(fields[1:], (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())))], names=[f.name for f in fields])
-
-    done = rows.select("rank", "text", "spans").mapInArrow(run, T.StructType(fields))
-    return done.select(F.when(F.col("rank") != LAST, F.col("rank")).cast(id_type).alias(id_col), *(f.name for f in fields[1:]))
+            if at < n:
+                if owner != (rank[n - 1], hashes[n - 1]):
+                    owner, held = (rank[n - 1], hashes[n - 1]), []
+                held.append((start[at:].copy(), end[at:].copy()))
+            yield pa.RecordBatch.from_arrays([pa.array(out[k], kind) for k, _, kind in kinds], names=names)
+
+    done = rows.select("rank", "hash", "start", "end", "text").mapInArrow(run, T.StructType([T.StructField(k, t) for k, t, _ in kinds]))
+    return done.select(F.when(F.col("rank") != LAST, F.col("rank")).cast(docs.schema[id_col].dataType).alias(id_col), *names[1:])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
