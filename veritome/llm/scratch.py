@@ -11,6 +11,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,6 +49,18 @@ def drop(*cuts: DataFrame) -> None:
             _made[:] = [x for x in _made if x[1] != path]
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """Bounds the rows of an Arrow batch for what runs inside, and so what the JVM and Python hold of long texts."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, min(rows, int(before)) if int(before) > 0 else rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def free(spark: SparkSession) -> None:
     """Lets Spark's cleaner remove shuffle files of plans that are no longer referenced."""
     import gc

@@ -42,6 +42,8 @@ from veritome.llm.induced_sort import sort_suffixes
 
 LENGTH, GRAM = 50, 20
 SPAN = LENGTH - GRAM + 1
+#: Bytes of text that are hashed at once.
+PIECE = 1 << 19
 #: Bytes of text between hand-overs of a task, and of distinct segments that are sorted as one string.
 FLUSH_BYTES, SORT_BYTES = 8 << 20, 512 << 10
 LAST = (1 << 63) - 1
@@ -50,12 +52,12 @@ _LOW24 = K.U64((1 << 24) - 1)
 
 def pieces(data: np.ndarray, offs: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Runs of rows, long rows in pieces that overlap by 49 bytes: first row, its first byte there, bytes, offsets."""
-    for lo, _, part, at in K.slices(data, offs):
-        if len(part) <= 2 * K.SLICE_BYTES:
+    for lo, _, part, at in K.slices(data, offs, PIECE):
+        if len(part) <= 2 * PIECE:
             yield lo, 0, part, at
         else:
-            for a in range(0, len(part) - LENGTH + 1, K.SLICE_BYTES):
-                one = part[a : a + K.SLICE_BYTES + LENGTH - 1]
+            for a in range(0, len(part) - LENGTH + 1, PIECE):
+                one = part[a : a + PIECE + LENGTH - 1]
                 yield lo, a, one, np.array([0, len(one)])
 
 
@@ -343,15 +345,21 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """(rank, hash, start, end): byte ranges that lie in repeated strings; ranges of one document may overlap."""
     spark = docs.sparkSession
     narrow, shards = _narrow(docs, id_col, text_col), repeats.shards(spark)
-    wanted = repeats.repeated_filter(_minimizers(narrow, shards))
-    sent = scratch.cut(_send(narrow, shards, wanted))
 
     def merge(batches):
         for _, blobs in repeats.groups(batches):
             yield from _resolve(blobs)
 
-    found = repeats.grouped(sent.where("shard is not null").select("shard", "blob")).mapInArrow(merge, _SPANS)
-    return found.unionByName(sent.where("shard is null").select("rank", "hash", "start", "end"))
+    with scratch.small_batches(spark):
+        wanted = repeats.repeated_filter(_minimizers(narrow, shards))
+        scratch.free(spark)
+        sent = scratch.cut(_send(narrow, shards, wanted))
+
+        found = repeats.grouped(sent.where("shard is not null").select("shard", "blob")).mapInArrow(merge, _SPANS)
+        spans = scratch.cut(found.unionByName(sent.where("shard is null").select("rank", "hash", "start", "end")))
+    scratch.drop(sent)
+    scratch.free(spark)
+    return spans
 
 
 def _cut_out(text: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[int, int, bytes]:
@@ -368,7 +376,7 @@ def _cut_out(text: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[int, in
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
     """id, n_bytes, n_removed, n_spans, kept_sha256 of every row; with ``keep_text`` the bytes that stay."""
-    spans = scratch.cut(repeated_spans(docs, id_col, text_col))
+    spans = repeated_spans(docs, id_col, text_col)
     # Spans and texts meet in one shuffle, spans first; a document's rows are read in a row.
     rows = spans.select("rank", "hash", "start", "end", F.lit(None).cast("string").alias("text")).unionByName(_narrow(docs, id_col, text_col).select("rank", "hash", F.lit(None).cast("long").alias("start"), F.lit(None).cast("long").alias("end"), "text"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
