@@ -256,6 +256,8 @@ def all_spans(texts: list[str], tagger: Tagger) -> tuple[list[list[Span]], list[
                 a += 1
             while b > a and text[b - 1] in " .,-(":
                 b -= 1
+            if a and text[a - 1] == "(" and ")" in text[a:b] and "(" not in text[a:b]:
+                a -= 1  # an area code keeps its bracket
             if a < b and 1 not in taken[a:b] and plausible(kind, text[a:b]) and not (a and text[a - 1].isalnum()) and not (b < len(text) and text[b].isalnum()):
                 more.append((kind, a, b))  # tagged spans do not meet one another
         full.append(sorted([*exact, *more], key=lambda s: (KINDS.index(s[0]), s[1], s[2])))
