@@ -416,3 +416,14 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
+ORACLE_SQL = f"""WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id, {LAST}) AS k, lower(hex(encode(coalesce(text, '')))) AS h FROM documents),
+w AS (SELECT r, k, i, substr(h, 2 * i + 1, {2 * LENGTH}) AS s FROM (SELECT r, k, h, unnest(range(0, length(h) // 2 - {LENGTH - 1})) AS i FROM t)),
+f AS (SELECT s, min(k) AS k FROM w GROUP BY s HAVING min(k) < max(k)),
+c AS (SELECT w.r, w.i FROM w JOIN f ON w.s = f.s AND f.k < w.k),
+g AS (SELECT r, i, sum(CASE WHEN i - p <= {LENGTH} THEN 0 ELSE 1 END) OVER (PARTITION BY r ORDER BY i) AS n FROM (SELECT r, i, lag(i) OVER (PARTITION BY r ORDER BY i) AS p FROM c)),
+x AS (SELECT r, n, min(i) AS a, max(i) + {LENGTH} AS b FROM g GROUP BY r, n),
+y AS (SELECT x.r, n, a, b, lag(b, 1, 0) OVER (PARTITION BY x.r ORDER BY n) AS before FROM x),
+z AS (SELECT r, count(*) AS n, sum(b - a) AS removed, max(b) AS last, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY n) AS kept FROM y JOIN t USING (r) GROUP BY r)
+SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(n, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256 FROM t LEFT JOIN z USING (r)"""
