@@ -25,6 +25,8 @@ bytes are equally likely and no word is known.  Other input columns are not read
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -198,7 +200,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     denominator = tokens + distinct + 1
     shared = spark.sparkContext.broadcast((trie, known, np.log10((known_n + 1) / denominator)))
     end_value = float(np.log10((ends + 1) / denominator))
-    model_key = f"{id(shared)}-{tokens}"
+    model_key = uuid.uuid4().hex  # workers outlive a call
 
     fields = [("words", T.LongType()), ("sure", T.LongType()), ("base", T.DoubleType()), ("score", T.DoubleType()), ("rare", T.ArrayType(T.LongType()))]
 
