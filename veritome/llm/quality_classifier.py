@@ -4,8 +4,9 @@ zstandard dictionaries are trained on good and on bad labelled text.  Each windo
 of a text is compressed with both; the difference of the sizes over their sum
 says which kind of text explains the window better, and the size against the
 window's length says how repetitive it is.  Means and extremes over the windows
-are calibrated to the probability of good quality, with equal weight for both
-classes and even odds at the threshold of 0.7.
+are calibrated to the probability of good quality.  A class weighs as the square
+root of its share of the training labels, between equal weights and the shares
+themselves, and even odds lie at the threshold of 0.7.
 
 Defined results: null and empty texts get the score of a text without windows
 (zero features); every input row is scored whole, repeated ids included; without
@@ -39,7 +40,8 @@ def dictionary(texts: list[str]) -> tuple[bytes, bool]:
 
 
 class Model:
-    def __init__(self, texts: dict[int, list[str]]) -> None:
+    def __init__(self, texts: dict[int, list[str]], rows: dict[int, int] | None = None) -> None:
+        """``rows`` are the training labels of each class; without them both weigh the same."""
         good, bad = texts[1], texts[0]
         self.calibration, self._pair = None, None
         if not good or not bad:
@@ -49,7 +51,9 @@ class Model:
         good, bad = good[1::2] or good, bad[1::2] or bad
         x = np.array([self.features(t.encode()) for t in [*good, *bad]])
         y = np.repeat([1.0, 0.0], [len(good), len(bad)])
-        self.calibration = C.Calibration(x, y, np.repeat([1.0 / len(good), 1.0 / len(bad)], [len(good), len(bad)]) * len(y) / 2, ridge=0.05)
+        share = np.sqrt([(rows or {}).get(1, 1), (rows or {}).get(0, 1)])
+        share /= share.sum()
+        self.calibration = C.Calibration(x, y, np.repeat(share / [len(good), len(bad)], [len(good), len(bad)]) * len(y), ridge=0.05)
         self.calibration.shift(THRESHOLD)
 
     def __getstate__(self):
@@ -78,7 +82,7 @@ class Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
-    return Model(C.sample(docs, labels, label, MODULUS, HELD_OUT, SAMPLE))
+    return Model(C.sample(docs, labels, label, MODULUS, HELD_OUT, SAMPLE), C.label_counts(labels, label, MODULUS, HELD_OUT))
 
 
 def quality(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -27,7 +27,7 @@ from veritome.llm import textkit as K
 
 MODULUS, HELD_OUT, THRESHOLD = 5, 0, 0.5
 #: Bounds of the training sample: rows a class.
-SAMPLE = {1: 1500, 0: 3000}
+SAMPLE = {1: 2000, 0: 5000}
 WINDOW, GRAM, MIN_MATCH = 64, 5, 6
 #: A typical string occurs in this many contexts, and this many times as often as in ordinary text.
 MIN_CONTEXTS, MIN_ODDS = 10, 15.0
