@@ -1,6 +1,6 @@
 """The nine calls of a corpus, on a warehouse folder.
 
-Requests are dicts, responses JSON strings of exact bytes.  Every call commits for
+Requests are dicts or JSON texts, responses JSON texts of exact bytes.  Every call commits for
 itself; a query or resolve reads one snapshot.
 """
 
@@ -21,7 +21,7 @@ from veritome.plans.compile import compile_plan
 from veritome.plans.plan import parse_plan
 from veritome.render import fit, render_query, render_resolve
 from veritome.requests import (
-    SCHEMA_VERSION, Config, Limits, Stage, TagChange, corpus_name, parse_annotate, parse_attach, parse_config, parse_publish, parse_purge, parse_retire, parse_stage, uuid,
+    SCHEMA_VERSION, Config, Limits, Stage, TagChange, corpus_name, decode, parse_annotate, parse_attach, parse_config, parse_publish, parse_purge, parse_retire, parse_stage, uuid,
 )
 from veritome.sources.store import Changes, Snapshot, Store
 
@@ -104,14 +104,14 @@ class Evidence:
     def init_collection(self, corpus: str, config: Any) -> None:
         self._may("writer")
         store = self._store(corpus)
-        store.create(parse_config(config), _now())
+        store.create(parse_config(decode(config)), _now())
 
     def stage_version(self, corpus: str, request: Any) -> str:
         """Keeps a version of a document and its spans; the same request under one key gives the same ids."""
         self._may("writer")
 
         def body(s: Snapshot, c: Changes, config: Config) -> dict:
-            req = parse_stage(request, config.limits.max_source_bytes)
+            req = parse_stage(decode(request), config.limits.max_source_bytes)
             # Ids have one length, so the response's size is known before anything is looked up.
             fit(self._staged(req, False, PLACEHOLDER, [PLACEHOLDER] * len(req.spans)), config.limits.max_response_bytes)
             digest = req.request_sha256()
@@ -156,7 +156,8 @@ class Evidence:
             config = self._config(s)
             if config.embedding_model is None:
                 raise EvidenceError(INVALID, "embeddings_not_configured", "this collection has no embedding configuration")
-            given = request.get("version_id") if isinstance(request, dict) else None
+            value = decode(request)
+            given = value.get("version_id") if isinstance(value, dict) else None
             if given is None:
                 raise invalid("version_id", "version_id is required")
             version_id = uuid(given, "version_id")
@@ -164,7 +165,7 @@ class Evidence:
             mine = F.col("version_id") == version_id
             if s.rows("tombstones", mine, "version_id"):
                 raise precondition("version_purged", f"version {version_id} is purged")
-            _, vectors = parse_attach(request, config.embedding_model, config.embedding_dimensions)
+            _, vectors = parse_attach(value, config.embedding_model, config.embedding_dimensions)
             known = {r["evidence_id"] for r in s.rows("spans", mine, "evidence_id")}
             for i, (evidence_id, _) in enumerate(vectors):
                 if evidence_id not in known:
@@ -185,7 +186,7 @@ class Evidence:
         self._may("writer")
 
         def body(s: Snapshot, c: Changes, config: Config) -> dict:
-            version_id = parse_publish(request)
+            version_id = parse_publish(decode(request))
             v = self._version(s, version_id)
             asset, mine = self._asset(s, v["asset_id"]), F.col("version_id") == version_id
             out = {"status": "published", "replayed": True, "version_id": version_id, "asset_id": v["asset_id"]}
@@ -215,7 +216,7 @@ class Evidence:
         self._may("writer")
 
         def body(s: Snapshot, c: Changes, config: Config) -> dict:
-            asset_id, expected = parse_retire(request)
+            asset_id, expected = parse_retire(decode(request))
             asset = self._asset(s, asset_id)
             if asset["content_revision"] != expected:
                 raise revision_conflict("the asset's content_revision", asset["content_revision"], expected)
@@ -230,7 +231,7 @@ class Evidence:
         self._may("writer")
 
         def body(s: Snapshot, c: Changes, config: Config) -> dict:
-            change = parse_annotate(request)
+            change = parse_annotate(decode(request))
             return self._tag(s, c, change) if isinstance(change, TagChange) else self._link(s, c, change)
 
         return self._mutate(corpus, body)
@@ -271,7 +272,7 @@ class Evidence:
         """Removes a version's text for good; ids, offsets and digests stay.  ``vacuum`` then removes the old files."""
 
         def body(s: Snapshot, c: Changes, config: Config) -> dict:
-            version_id, reason = parse_purge(request)
+            version_id, reason = parse_purge(decode(request))
             self._may("purger")
             v, mine = self._version(s, version_id), F.col("version_id") == version_id
             out = {"status": "purged", "replayed": True, "version_id": version_id, "asset_id": v["asset_id"]}
@@ -307,7 +308,7 @@ class Evidence:
         config = self._config(s)
         if not self.timeout:
             raise precondition("statement_timeout_unset", "a query needs a timeout above zero")
-        plan = parse_plan(request, config)
+        plan = parse_plan(decode(request), config)
         with _Deadline(self.spark, self.timeout):
             compiled = compile_plan(plan, s.tables()).persist()
             try:

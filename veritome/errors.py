@@ -16,6 +16,8 @@ EXISTS = "42P06"
 UNKNOWN_CORPUS = "42P01"
 BAD_REGEX = "2201B"
 CANCELLED = "57014"
+BAD_JSON = "22P02"
+BAD_TEXT = "22P05"
 
 
 class EvidenceError(Exception):

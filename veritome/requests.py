@@ -13,7 +13,7 @@ import unicodedata
 from dataclasses import dataclass, field, fields
 from typing import Any
 
-from veritome.errors import INVALID, EvidenceError, invalid, limit_exceeded
+from veritome.errors import BAD_JSON, BAD_TEXT, INVALID, EvidenceError, invalid, limit_exceeded
 
 # Size limits.
 MAX_SPANS = 65_536
@@ -26,12 +26,34 @@ MAX_TAGS = 64
 MAX_DIMENSIONS = 2000
 INT4, INT8 = 2**31 - 1, 2**63 - 1
 SCHEMA_VERSION = 1
+MAX_DEPTH = 128
 RESERVED_NAMES = {"information_schema", "public", "evidence"}
 TEXT_SEARCH_CONFIGS = {"simple", "pg_catalog.simple"}
 
 _UUID = re.compile(r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}")
 
 
+def decode(request: Any) -> Any:
+    """A request given as JSON text or as an object; what the store cannot hold or nests too deeply is refused."""
+    if isinstance(request, (str, bytes)):
+        try:
+            request = json.loads(request)
+        except (ValueError, RecursionError):
+            raise EvidenceError(BAD_JSON, "invalid_json", "the request is not valid JSON") from None
+    stack = [(request, 1)]
+    while stack:
+        value, depth = stack.pop()
+        if depth > MAX_DEPTH:
+            raise invalid("request", f"the request nests more than {MAX_DEPTH} levels")
+        if isinstance(value, dict):
+            stack += [(x, depth + 1) for pair in value.items() for x in pair]
+        elif isinstance(value, list):
+            stack += [(x, depth + 1) for x in value]
+        elif isinstance(value, str) and "\0" in value:
+            raise EvidenceError(BAD_TEXT, "unsupported_character", "text cannot hold the character U+0000")
+    return request
+
+
 def size(text: str) -> int:
     return len(text.encode("utf-8", "surrogatepass"))
 
