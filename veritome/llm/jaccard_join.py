@@ -370,9 +370,24 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, id_col: str = "d
 
 
 def keep_one(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is their component's; the smallest id of each group stays."""
-    gone = jaccard_components(docs, percent, id_col, text_col).where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
-    return docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    """The rows of ``docs`` whose id is their component's; the smallest id of each group stays.
+
+    Only rows whose id a filter of the ids to drop lets through meet that list;
+    all others stay where they are.
+    """
+    gone = scratch.cut(jaccard_components(docs, percent, id_col, text_col).where(F.col(id_col) != F.col("component_id")).select(id_col).distinct())
+    shared = docs.sparkSession.sparkContext.broadcast(repeats.key_filter(gone.select(F.xxhash64(id_col))))
+    hashed = docs.select("*", F.xxhash64(id_col).alias("__key"))
+
+    def split(hit: bool) -> DataFrame:
+        def run(batches):
+            for batch in batches:
+                found = shared.value.passes(batch.column(batch.num_columns - 1).to_numpy().view(np.uint64)) == hit
+                yield pa.RecordBatch.from_arrays([c.filter(pa.array(found)) for c in batch.columns[:-1]], names=batch.schema.names[:-1])
+
+        return hashed.mapInArrow(run, docs.schema)
+
+    return split(False).unionByName(split(True).join(gone, id_col, "left_anti").select(*docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
