@@ -168,7 +168,8 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, id_col: str
     for part in sorted(totals):
         base[part], at = at, at + totals[part]
 
-    joined = tokens.select(id_col, "row", "wide", "ids").join(places.select("row", "part", "before"), "row")
+    # Neither side has a bound, so neither is broadcast, however small this run is.
+    joined = tokens.select(id_col, "row", "wide", "ids").hint("merge").join(places.select("row", "part", "before"), "row")
     id_type = docs.schema[id_col].dataType
     schema = T.StructType([T.StructField(id_col, id_type), *(T.StructField(k, T.LongType()) for k in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"))])
 
