@@ -326,8 +326,8 @@ class Join:
             rows = scratch.cut(rows.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")))
             mixed = scratch.cut(rows.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token"))
             rows = scratch.cut(rows.join(mixed, "token", "left_semi"))
-        x, y = (rows.select("token", *(F.col(c).alias(f"{s}_{c}") for c in ("node", "n", "pos", "component"))) for s in "xy")
-        meet = x.join(y, (x.token == y.token) & (F.col("x_node") < F.col("y_node")) & (F.col("x_component") != F.col("y_component")) & _may_link("x_", "y_", self.percent))
+        x, y = (rows.select(*(F.col(c).alias(f"{s}_{c}") for c in ("token", "node", "n", "pos", "component"))) for s in "xy")
+        meet = x.join(y, (F.col("x_token") == F.col("y_token")) & (F.col("x_node") < F.col("y_node")) & (F.col("x_component") != F.col("y_component")) & _may_link("x_", "y_", self.percent))
         return meet.select(F.col("x_node").alias("a"), F.col("y_node").alias("b")).distinct()
 
     def verify(self, pairs: DataFrame) -> DataFrame:
