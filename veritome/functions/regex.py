@@ -1,4 +1,4 @@
-"""From the reference's regular-expression dialect to Java's.
+"""From advanced POSIX regular expressions to Java's.
 
 There a newline is an ordinary character and ``^`` and ``$`` anchor the whole
 string; bracket classes such as ``[[:alpha:]]`` and the word anchors ``\\m \\M \\y``
