@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from veritome.llm import decontamination, jaccard_join, lm_scoring, packing, personal_data, quality_classifier, quality_rules, suffix_dedup, toxicity, url_filters
+from veritome.llm import decontamination, jaccard_join, lm_scoring, packing, personal_data, quality_classifier, quality_rules, scratch, suffix_dedup, toxicity, url_filters
 
 MODULES = {
     "op1_quality_rules": quality_rules,
@@ -18,8 +18,18 @@ MODULES = {
 }
 
 
+def _bounded(query):
+    """A query that also bounds Arrow batches where its rows are computed after it returns."""
+
+    def run(spark, sf_dir):
+        scratch.bound_batches(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 def queries() -> dict:
-    return {name: module.query for name, module in MODULES.items()}
+    return {name: _bounded(module.query) for name, module in MODULES.items()}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -29,11 +29,32 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_fallback[0]}"
 
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def bound_batches(spark: SparkSession, rows: int = 1500) -> str:
+    """Bounds the rows of an Arrow batch in this session, and so what the JVM and Python hold of long texts."""
+    before = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, min(rows, int(before)) if int(before) > 0 else rows)
+    return before
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """``bound_batches`` for what runs inside."""
+    before = bound_batches(spark)
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The same rows, read from a written table."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/veritome-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    with small_batches(spark):
+        df.write.option("compression", "zstd").parquet(path)
     _made.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out._veritome_path = path
@@ -49,18 +70,6 @@ def drop(*cuts: DataFrame) -> None:
             _made[:] = [x for x in _made if x[1] != path]
 
 
-@contextmanager
-def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
-    """Bounds the rows of an Arrow batch for what runs inside, and so what the JVM and Python hold of long texts."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, min(rows, int(before)) if int(before) > 0 else rows)
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
 def free(spark: SparkSession) -> None:
     """Lets Spark's cleaner remove shuffle files of plans that are no longer referenced."""
     import gc
