@@ -8,7 +8,7 @@ beyond two thresholds, the mean) are calibrated to a probability.
 
 Typical passages are runs of 5-byte strings, each within a word or with the blank
 before it, that occur in toxic text many times as often as in ordinary text;
-occurrences count once per preceding context, so copies of a text add nothing.
+occurrences in toxic text count once per preceding context, so copies add nothing.
 
 Defined results: null and empty texts get the score of a text without any gain;
 every input row is scored, repeated ids included; without labelled rows of both
@@ -66,15 +66,13 @@ def typical(toxic: list[str], ordinary: list[str]) -> bytes:
     grams, counts = _contexts([(h, c) for _, _, h, c in _strings(toxic)])
     enough = counts >= min(MIN_CONTEXTS, max(3, len(toxic) // 40))
     grams, counts = grams[enough], counts[enough]
-    seen, sizes, parts = np.zeros(len(grams)), [0, 0], []
-    for data, _, h, c in _strings(ordinary):
+    seen, size = np.zeros(len(grams)), 0
+    for data, _, h, c in _strings(ordinary):  # chunk by chunk: there is much more ordinary text
         known = np.isin(h, grams)
-        parts.append((h[known], c[known]))
-        sizes[1] += len(data)
-    found, n = _contexts(parts)
-    seen[np.searchsorted(grams, found)] = n
-    sizes[0] = sum(len(t.encode()) for t in toxic)
-    odds = (counts / max(1, sizes[0])) / ((seen + 0.5) / max(1, sizes[1]))
+        found, n = _contexts([(h[known], c[known])])
+        seen[np.searchsorted(grams, found)] += n
+        size += len(data)
+    odds = (counts / max(1, sum(len(t.encode()) for t in toxic))) / ((seen + 0.5) / max(1, size))
     keep = grams[odds >= MIN_ODDS]
     runs: dict[bytes, int] = {}
     for data, at, h, _ in _strings(toxic):
