@@ -69,6 +69,15 @@ def test_keep_one_and_empty_table(spark, prose):
     assert Q.jaccard_components(documents(spark, [])).collect() == []
 
 
+def test_copies_in_several_tasks_count_once(spark, prose):
+    texts = [t for k in (1, 2) for t in (prose(k), prose(k) + " more")]
+    rows = [(10 * copy + k, text) for copy in range(2) for k, text in enumerate(texts)]
+    schema = documents(spark, []).schema
+    docs = spark.createDataFrame(spark.sparkContext.parallelize([(i, t, *[None] * 6) for i, t in rows], 2), schema)
+    got = {r.doc_id: r.component_id for r in Q.jaccard_components(docs).collect()}
+    assert got == {0: 0, 1: 0, 10: 0, 11: 0, 2: 2, 3: 2, 12: 2, 13: 2}
+
+
 def test_threshold_is_exact():
     a = np.arange(100, dtype=np.uint64)
     assert Q.overlap_reaches(a[:90], a[10:]) and not Q.overlap_reaches(a[:90], a[11:])  # 80 and 79 of 100

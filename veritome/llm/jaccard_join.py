@@ -298,9 +298,11 @@ class Join:
         entries = scratch.cut(_entries(prefixes))
         scratch.drop(prefixes)
         scratch.free(docs.sparkSession)
+        # Each task that holds copies of a set gives its entries; a holder counts once, or even numbers of copies cancel in x and y.
+        once = entries.repartition("token").dropDuplicates(["token", "node"])
         # The hub that serves most is the most typical set: near copies differ from it by their own edits only.
         me = ["node", "n", "pos"]
-        hubs = entries.groupBy("token").agg(
+        hubs = once.groupBy("token").agg(
             F.min(F.struct(F.col("n").alias("h"), *me)).alias("low"), F.max(F.struct(F.col("n").alias("h"), *me)).alias("high"),
             F.min(F.struct(F.xxhash64("node").alias("h"), *me)).alias("any"), F.max(F.struct("centre", *me)).alias("typical"),
             F.count("*").alias("holders"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"),
@@ -309,7 +311,7 @@ class Join:
         each = [F.struct(*(F.col(f"{h}.{c}").alias(c) for c in me)) for h in ("low", "high", "any", "typical")]
         hubs = hubs.select("token", F.array_distinct(F.array(*each)).alias("hubs"), "holders", "x", "y")
         firsts = hubs.groupBy("holders", "x", "y").agg(F.min(F.struct("token", "hubs")).alias("first")).select("first.*")
-        self.shared = scratch.cut(entries.join(firsts, "token"))
+        self.shared = scratch.cut(once.join(firsts, "token"))
         scratch.drop(entries)
         scratch.free(docs.sparkSession)
 
