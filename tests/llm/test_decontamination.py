@@ -61,3 +61,16 @@ def test_blocks_and_empty_tables(spark, prose, monkeypatch):
     assert [len(b.ids) for b in Q.blocks(items, "item_id", "text", 2)] == [2, 2, 1]
     assert {(r.doc_id, r.item_id) for r in Q.find_leaks(docs, items).collect()} == {(k, k) for k in range(5)}
     assert Q.find_leaks(docs, items.limit(0)).collect() == [] == Q.find_leaks(documents(spark, []), items).collect()
+
+
+def test_long_items_stay_whole(spark, prose, monkeypatch):
+    item = (prose(700, 9000)[:19_999]).rstrip()
+    item += " " * (20_000 - len(item)) + "the"
+    w = item.split()
+    items = spark.createDataFrame([(1, item), (2, prose(701, 20))], "item_id long, text string")
+    docs = documents(spark, [(1, item), (2, "only the word"), (3, " ".join(w[: len(w) * 2 // 3])), (4, " ".join(w[: len(w) // 3]))])
+    got = {r.doc_id: r.score for r in Q.find_leaks(docs, items).collect()}
+    assert set(got) == {1, 3} and got[1] == 1 and abs(got[3] - 2 / 3) < 0.01
+    assert sorted(r.doc_id for r in Q.keep_clean(docs, items).collect()) == [2, 4]
+    monkeypatch.setattr(Q, "BLOCK_CHARS", 10)
+    assert [len(b.ids) for b in Q.blocks(items, "item_id", "text")] == [1, 1]

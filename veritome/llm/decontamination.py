@@ -7,8 +7,8 @@ holds a seed, however common the others are.  A second pass joins documents to
 items on seeds and aligns the item with the words around them; the score is the
 best local alignment over that of a perfect copy.
 
-The test set is read in blocks of bounded size, and each block travels with the
-tasks; documents never move.  A document of any length is aligned only around its
+The test set is read in blocks of whole items, bounded by their number and
+characters, and each block travels with the tasks; documents never move.  A document of any length is aligned only around its
 seeds, and the counts cover all documents.
 
 Defined results: null or empty texts and items match nothing; an item with fewer
@@ -31,10 +31,8 @@ from veritome.llm import textkit as K
 
 GRAM, SEED_SHARE, LEAST_SCORE = 3, 0.85, 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
-#: Items in a block: a few megabytes of hashes.
-BLOCK = 20_000
-#: Longest test item, in characters, that one block entry may hold; longer ones are cut into entries of this size.
-ITEM_CHARS = 20_000
+#: Items and characters after which a block is full: some tens of megabytes of hashes.  Items are whole, so one may pass the latter.
+BLOCK, BLOCK_CHARS = 20_000, 8_000_000
 
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -154,15 +152,15 @@ class Block:
 
 def blocks(items: DataFrame, id_col: str, text_col: str, size: int = BLOCK) -> Iterator[Block]:
     """The test set on the driver, block after block."""
-    pieces = F.transform(F.sequence(F.lit(0), F.floor((F.length("t") - 1) / ITEM_CHARS)), lambda k: F.substr(F.col("t"), (k * ITEM_CHARS + 1).cast("int"), F.lit(ITEM_CHARS)))
-    table = items.select(items[id_col].alias("i"), items[text_col].alias("t")).where(F.length("t") > 0).select("i", F.explode(pieces).alias("t"))
-    ids, texts = [], []
+    table = items.select(items[id_col].alias("i"), items[text_col].alias("t")).where(F.length("t") > 0)
+    ids, texts, chars = [], [], 0
     for row in table.toLocalIterator():
         ids.append(row.i)
         texts.append(row.t)
-        if len(ids) == size:
+        chars += len(row.t)
+        if len(ids) == size or chars >= BLOCK_CHARS:
             yield Block(ids, texts)
-            ids, texts = [], []
+            ids, texts, chars = [], [], 0
     if ids:
         yield Block(ids, texts)
 
