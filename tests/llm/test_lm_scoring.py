@@ -59,3 +59,14 @@ def test_empty_tables(spark):
     only_held = next(i for i in range(99) if zlib.crc32(str(i).encode()) % 7 == 2)
     row = Q.lm_scores(documents(spark, [(only_held, "ab")])).first()
     assert (row.n_known, row.train_tokens) == (0, 0) and row.score == pytest.approx(3 * math.log10(1 / 256))
+
+
+def test_rare_strings_belong_to_the_whole_trie(spark, prose, monkeypatch, tmp_path):
+    rows = ODD + [(10 + k, prose(k, 150)) for k in range(12)] + [(99, "x " * 500), (98, "日本 🙂 qzj")]
+    docs = documents(spark, rows)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    want = sorted((str(r.doc_id), r.score) for r in Q.lm_scores(docs).collect())  # below 2**20 bytes all strings travel
+    monkeypatch.setattr(Q, "RESOLUTION", 700)
+    got = sorted((str(r.doc_id), r.score) for r in Q.query(spark, str(tmp_path)).collect())
+    assert [i for i, _ in got] == [i for i, _ in want]
+    assert [v for _, v in got] == pytest.approx([v for _, v in want], rel=1e-6)

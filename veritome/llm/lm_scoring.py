@@ -10,10 +10,11 @@ and d different ones gives it c / (n + d); the rest, d / (n + d), is the escape
 (method C) to the context one byte shorter.  Exclusion: bytes seen in the longer
 context cannot follow an escape, so their share of the shorter context's
 distribution goes to the others.  Below order 0 all 256 bytes are equally likely.
-The probabilities of all continuations of any context add up to one.  A node of
-order 3 or 2 belongs to the trie if it holds at least 2**-20 of the training
-bytes, hence at most 2**20 nodes an order at any corpus size; this is the model's
-resolution, not a sample: every training byte is counted.
+The probabilities of all continuations of any context add up to one.  The query's
+trie holds every trained string (``least=1``).  Tables that travel are bounded:
+contexts have at most three bytes, and only strings that hold 2**-20 of the
+training bytes go along; all other occurrences are joined with their exact value.
+Without ``least``, strings of order 3 and 2 below that share are not in the trie.
 
 Base score: words seen at least 2**-20 of all tokens (at most 2**20 of them) are
 scored in the same pass; every other occurrence is joined with its exact count.
@@ -114,14 +115,32 @@ def counts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return train.mapInArrow(run, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
+def find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of each key in an ascending table, and whether it is there."""
+    if not len(table):
+        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+    place = np.minimum(np.searchsorted(table, keys), len(table) - 1)
+    return place, table[place] == keys
+
+
+class Top:
+    """Contexts of three bytes with size (occurrences and kinds) and escape, and the frequent strings."""
+
+    def __init__(self, contexts: np.ndarray, total: np.ndarray, kinds: np.ndarray, shorter: np.ndarray, keys: np.ndarray, n: np.ndarray) -> None:
+        self.contexts, self.size = contexts.astype(np.uint32), total + kinds
+        self.escape = np.log10(kinds / self.size / np.maximum(1 - shorter, 1e-12)).astype(np.float32)
+        self.keys = keys.astype(np.uint32)
+        self.hits = np.log10(n / self.size[find(contexts, keys >> 8)[0]]).astype(np.float32) if len(keys) else np.empty(0, np.float32)
+
+
 class Trie:
-    """Log10 probabilities from the counts of strings of length four and less."""
+    """Log10 probabilities from the counts of strings of length three and less."""
 
-    def __init__(self, keys4: np.ndarray, n4: np.ndarray, keys3: np.ndarray, n3: np.ndarray, n2: np.ndarray) -> None:
-        self.given = keys4, n4, keys3, n3, n2
+    def __init__(self, keys3: np.ndarray, n3: np.ndarray, n2: np.ndarray) -> None:
+        self.given = keys3, n3, n2
 
     def build(self) -> None:
-        keys4, n4, keys3, n3, n2 = self.given
+        keys3, n3, n2 = self.given
         uniform = np.full(256, 1 / 256)
         zero = self._level(np.zeros(256, np.int64), np.arange(256), n2.sum(0).astype(float), uniform[None, :], 1)[0]
         one = self._level(np.repeat(np.arange(256), 256), np.tile(np.arange(256), 256), n2.astype(float).ravel(), np.broadcast_to(zero, (256, 256)), 256)
@@ -131,12 +150,6 @@ class Trie:
             ctx, sym = (keys3[lo:hi] >> 8) & 0xFF, keys3[lo:hi] & 0xFF
             self.two[b] = np.log10(self._level(ctx, sym, n3[lo:hi].astype(float), one, 256))
         self.two = self.two.reshape(-1)
-        ctx, back = np.unique(keys4 >> 8, return_inverse=True)
-        total, kinds = np.bincount(back, n4, len(ctx)), np.bincount(back, minlength=len(ctx))
-        shorter = np.bincount(back, 10.0 ** self.two[keys4 & 0xFFFFFF].astype(float), len(ctx))
-        self.keys, self.hits = keys4.astype(np.uint32), np.log10(n4 / (total + kinds)[back]).astype(np.float32)
-        with np.errstate(divide="ignore"):
-            self.contexts, self.escape = ctx.astype(np.uint32), np.log10(kinds / (total + kinds) / np.maximum(1 - shorter, 1e-12)).astype(np.float32)
         self.given = None
 
     @staticmethod
@@ -153,22 +166,24 @@ class Trie:
             p = np.where(seen, count / (total + np.where(closed, 0, kinds)), kinds / (total + kinds) * free / mass)
         return np.where(total > 0, p, shorter)
 
-    def log10(self, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
-        """Log10 probability of each row and its end."""
+    def log10(self, top: Top, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Log10 probability of each row and its end by the strings of ``top``; escapes of known contexts and row boundaries among them."""
         frame, at, edges = framed(data, offs)
         key = strings4(frame, at)
         value = self.two[key & np.uint32(0xFFFFFF)].astype(np.float64)
-        if len(self.keys):
-            place = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            hit = self.keys[place] == key
-            value[hit] = self.hits[place[hit]]
-            rest = np.flatnonzero(~hit)
-            ctx = key[rest] >> np.uint32(8)
-            place = np.minimum(np.searchsorted(self.contexts, ctx), len(self.contexts) - 1)
-            known = self.contexts[place] == ctx
-            value[rest[known]] += self.escape[place[known]]
+        place, hit = find(top.keys, key)
+        value[hit] = top.hits[place[hit]]
+        rest = np.flatnonzero(~hit)
+        place, known = find(top.contexts, key[rest] >> np.uint32(8))
+        rest = rest[known]
+        value[rest] += top.escape[place[known]]
         total = np.concatenate([[0.0], np.cumsum(value)])
-        return total[edges[1:]] - total[edges[:-1]]
+        return total[edges[1:]] - total[edges[:-1]], key[rest], np.searchsorted(rest, edges)
+
+    def gains(self, top: Top, keys: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """What strings of these counts add to the value of an escape."""
+        ctx = find(top.contexts, keys >> 8)[0]
+        return np.log10(n / top.size[ctx]) - (top.escape[ctx].astype(np.float64) + self.two[keys & 0xFFFFFF])
 
 
 def _pairs(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -178,8 +193,24 @@ def _pairs(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return key[order], n[order]
 
 
-def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: split, token counts, base score and the model's score."""
+def _contexts(strings: DataFrame, ready) -> tuple[np.ndarray, ...]:
+    """Contexts, their occurrences, kinds and the share of their bytes one order below: at most 2**24 rows."""
+
+    def run(batches):
+        for batch in batches:
+            key, n = batch.column(0).to_numpy(), batch.column(1)
+            yield pa.RecordBatch.from_arrays([pa.array(key >> 8), n, pa.array(10.0 ** ready().two[key & 0xFFFFFF].astype(float))], names=["ctx", "n", "p"])
+
+    table = strings.mapInArrow(run, "ctx long, n long, p double").groupBy("ctx").agg(F.sum("n").alias("n"), F.count("*").alias("kinds"), F.sum("p").alias("p")).toArrow()
+    order = np.argsort(table.column("ctx").to_numpy())
+    return tuple(table.column(c).to_numpy()[order] for c in ("ctx", "n", "kinds", "p"))
+
+
+def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int | None = None) -> DataFrame:
+    """One row per input row: split, token counts, base score and the model's score.
+
+    The trie has the strings seen ``least`` times; without it, those that hold 2**-20 of the training bytes.
+    """
     spark = docs.sparkSession
     count = scratch.cut(counts(docs, id_col, text_col))
     words, strings = count.where(F.col("kind") == WORDS), count.where(F.col("kind") == BYTES)
@@ -187,31 +218,38 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     size = lambda kind, field: int(getattr(sums.get(kind), field, 0) or 0)
     ends = size(ENDS, "n")
     tokens, distinct = size(WORDS, "n") + ends, size(WORDS, "distinct") + (ends > 0)
-    least = max(1, -(-size(BYTES, "n") // RESOLUTION))
+    share = max(1, -(-size(BYTES, "n") // RESOLUTION))
+    least = share if least is None else least
     by3 = strings.groupBy(F.col("key").bitwiseAND(0xFFFFFF).alias("key")).agg(F.sum("n").alias("n"))
     by2 = strings.groupBy(F.col("key").bitwiseAND(0xFFFF).alias("key")).agg(F.sum("n").alias("n"))
     keys2, n2 = _pairs(by2)
     dense2 = np.zeros(65536, np.int64)
     dense2[keys2] = n2
-    trie = Trie(*_pairs(strings.where(F.col("n") >= least).select("key", "n")), *_pairs(by3.where(F.col("n") >= least)), dense2.reshape(256, 256))
+    model_key = uuid.uuid4().hex  # workers outlive a call
+    levels = spark.sparkContext.broadcast(Trie(*_pairs(by3.where(F.col("n") >= least)), dense2.reshape(256, 256)))
+
+    def ready() -> Trie:
+        if _tables.get("key") != model_key:
+            _tables.clear()
+            if levels.value.given is not None:
+                levels.value.build()
+            _tables.update(key=model_key, trie=levels.value)
+        return _tables["trie"]
+
+    modelled = strings.where(F.col("n") >= least).select("key", "n")
+    top = Top(*_contexts(modelled, ready), *_pairs(modelled.where(F.col("n") >= share)))
+    joined = least < share
     frequent = max(1, -(-tokens // RESOLUTION))
     known, known_n = _pairs(words.where(F.col("n") >= frequent).select("key", "n"))
     known = known.view(np.uint64)
     denominator = tokens + distinct + 1
-    shared = spark.sparkContext.broadcast((trie, known, np.log10((known_n + 1) / denominator)))
+    shared = spark.sparkContext.broadcast((top, known, np.log10((known_n + 1) / denominator)))
     end_value = float(np.log10((ends + 1) / denominator))
-    model_key = uuid.uuid4().hex  # workers outlive a call
 
-    fields = [("words", T.LongType()), ("sure", T.LongType()), ("base", T.DoubleType()), ("score", T.DoubleType()), ("rare", T.ArrayType(T.LongType()))]
+    fields = [("words", T.LongType()), ("sure", T.LongType()), ("base", T.DoubleType()), ("score", T.DoubleType()), ("rare", T.ArrayType(T.LongType())), ("escapes", T.ArrayType(T.LongType()))]
 
     def compute(data, offs):
-        if _tables.get("key") != model_key:
-            _tables.clear()
-            trie, _, _ = loaded = shared.value
-            if trie.given is not None:
-                trie.build()
-            _tables.update(key=model_key, model=loaded)
-        trie, known, value = _tables["model"]
+        top, known, value = shared.value
         n = len(offs) - 1
         hashes, rows = word_hashes(data, offs)
         if len(known):
@@ -222,24 +260,39 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
             hit, base = np.zeros(len(hashes), bool), np.zeros(n)
         rare, rare_rows = hashes[~hit].view(np.int64), rows[~hit]
         edges = np.searchsorted(rare_rows, np.arange(n + 1)).astype(np.int32)
+        score, escapes, escape_edges = ready().log10(top, data, offs)
+        if not joined:
+            escapes, escape_edges = escapes[:0], np.zeros(n + 1)
         return {
             "words": np.bincount(rows, minlength=n), "sure": np.bincount(rows[hit], minlength=n), "base": base,
-            "score": trie.log10(data, offs), "rare": pa.ListArray.from_arrays(pa.array(edges), pa.array(rare)),
+            "score": score, "rare": pa.ListArray.from_arrays(pa.array(edges), pa.array(rare)),
+            "escapes": pa.ListArray.from_arrays(pa.array(escape_edges.astype(np.int32)), pa.array(escapes.astype(np.int64))),
         }
 
     scored = scratch.cut(K.map_documents(docs, compute, fields, id_col, text_col).withColumn("row", F.monotonically_increasing_id()))
     rare = scored.select("row", F.explode("rare").alias("key")).join(words.select("key", "n"), "key", "left")
     rare = rare.groupBy("row").agg(F.sum(F.log10((F.coalesce("n", F.lit(0)) + 1) / F.lit(float(denominator)))).alias("more"), F.count("n").alias("met"))
-    return scored.drop("rare").join(rare, "row", "left").select(
+    out = scored.drop("rare", "escapes").join(rare, "row", "left").withColumn("gain", F.lit(0.0))
+    if joined:
+
+        def gains(batches):
+            for batch in batches:
+                key, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ready().gains(shared.value[0], key, n))], names=["key", "gain"])
+
+        gained = modelled.where(F.col("n") < share).mapInArrow(gains, "key long, gain double")
+        gained = scored.select("row", F.explode("escapes").alias("key")).join(gained, "key").groupBy("row").agg(F.sum("gain").alias("gain"))
+        out = out.drop("gain").join(gained, "row", "left")
+    return out.select(
         F.col(id_col),
         F.coalesce(remainder(F.col(id_col), MODULUS) == HELD_OUT, F.lit(False)).alias("held_out"),
         (F.col("words") + 1).alias("n_tokens"),
         (F.col("sure") + F.coalesce("met", F.lit(0)) + F.lit(int(ends > 0))).cast("long").alias("n_known"),
         F.lit(tokens).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("more", F.lit(0.0)) + F.lit(end_value)).alias("base_score"),
-        "score",
+        (F.col("score") + F.coalesce("gain", F.lit(0.0))).alias("score"),
     )
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_scores(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return lm_scores(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), least=1)
