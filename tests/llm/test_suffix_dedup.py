@@ -47,20 +47,75 @@ def test_pieces_of_long_texts(spark, prose, monkeypatch):
     assert len(parts) > 3 and seen == list(range(len(long) - 49))
 
 
-def test_suffix_order_and_common_prefixes(monkeypatch):
-    rnd = random.Random(4)
-
-    def common(a, b):
-        k = 0
-        while k < min(len(a), len(b), I.CAP) and a[k] == b[k]:
-            k += 1
-        return k
-
-    for t in range(400):
-        text = bytes(rnd.randrange(rnd.choice([1, 2, 3, 8])) for _ in range(rnd.randrange(1, 60))) * rnd.choice([1, 1, 3])
-        monkeypatch.setattr(I, "MOST_QUEUES", rnd.choice([2, 2048]))
-        order, prefixes = I.sort_suffixes(np.frombuffer(text, np.uint8), rnd.choice([0, 64, 1 << 20]))
-        suffixes = [text[i:] for i in order]
-        assert sorted(order.tolist()) == list(range(len(text)))
-        for i in range(1, len(text)):
-            assert suffixes[i - 1][: I.CAP] <= suffixes[i][: I.CAP] and prefixes[i] == common(suffixes[i - 1], suffixes[i])
+def sort(strings, memory):
+    """Descending (suffix, common prefix) of the strings, and what the sort did."""
+    raw, got, work = b"\xff" + b"".join(s + b"\xff" for s in strings), [], I.Work(memory)
+    I.sort_suffixes(np.frombuffer(raw + bytes(I.PAD), np.uint8), lambda p, c: got.extend(zip(p.tolist(), c.tolist())), work)
+    assert sorted(p for p, _ in got) == [i for i, x in enumerate(raw) if x != 0xFF]
+    return [(raw[p : raw.index(b"\xff", p)], c) for p, c in got], work
+
+
+def common(a, b):
+    k = 0
+    while k < min(len(a), len(b), I.CAP) and a[k] == b[k]:
+        k += 1
+    return k
+
+
+def check_order(got):
+    for (a, _), (b, shared) in zip(got, got[1:]):
+        k = common(a, b)
+        assert a >= b and (shared == k if k < min(len(a), len(b)) else shared >= k)
+
+
+def test_suffix_order_and_common_prefixes():
+    rnd, levels = random.Random(4), 0
+    for _ in range(250):
+        m = rnd.choice([1, 2, 3, 8, 200])
+        strings = [bytes(rnd.randrange(m) + 20 for _ in range(rnd.randrange(1, 40))) * rnd.choice([1, 1, 3]) for _ in range(rnd.choice([1, 1, 3, 20]))]
+        got, work = sort(strings + strings[: rnd.choice([0, 2])], rnd.choice([0, 64, 1 << 20]))
+        check_order(got)
+        levels = max(levels, work.levels)
+    assert levels >= 4
+
+
+def test_a_shard_far_larger_than_memory(prose):
+    strings = [prose(i % 60, 400)[7 * i % 90 :][:80].encode() for i in range(900)]
+    got, work = sort(strings, 4096)
+    size = sum(map(len, strings))
+    assert size > 15 * work.memory and work.spilled > size and work.levels >= 3
+    check_order(got)
+    assert got == sort(strings, 1 << 26)[0] and sort(strings, 1 << 26)[1].spilled == 0
+
+
+def test_shard_equals_brute_force(prose, monkeypatch):
+    monkeypatch.setattr(Q, "BLOCK", 7)
+    rnd, shard, held = random.Random(2), Q.Shard(I.Work(2048)), []
+    texts = [prose(i, 30).encode()[:110] for i in range(5)]
+    for blob in range(6):
+        part = [(rnd.randrange(9), (t := rnd.choice(texts))[(a := rnd.randrange(30)) : a + rnd.randint(50, 80)]) for _ in range(25)]
+        part = list({s: (d, s) for d, s in part}.values())
+        held += [(d, 1000 * blob + k, s) for k, (d, s) in enumerate(part)]
+        arrays = {"length": [len(s) for _, s in part], "places": [1] * len(part), "document": range(len(part)), "start": [1000 * blob + k for k in range(len(part))], "rank": [d for d, _ in part], "hash": [0] * len(part)}
+        shard.add(Q._encode({k: np.array(v) for k, v in arrays.items()} | {"bytes": np.frombuffer(b"".join(s for _, s in part), np.uint8)}))
+    least: dict = {}
+    for d, _, s in held:
+        for i in range(len(s) - 49):
+            least[s[i : i + 50]] = min(least.get(s[i : i + 50], d), d)
+    want = {(d, at + i + k) for d, at, s in held for i in range(len(s) - 49) if least[s[i : i + 50]] < d for k in range(50)}
+    got = {(r["rank"], x) for batch in shard.spans() for r in batch.to_pylist() for x in range(r["start"], r["end"])}
+    assert got == want and shard.work.spilled
+
+
+def test_equal_hashes_of_different_bytes_stay_apart():
+    data = np.frombuffer(b"aaabbbaaaccc", np.uint8)
+    at, length = np.arange(0, 12, 3), np.full(4, 3)
+    order, new = Q._alike(data, at, length, np.full(4, 9, np.uint64), np.array([4, 3, 2, 1]))
+    groups = sorted(sorted(data[at[i] : at[i] + 3].tobytes() for i in g) for g in np.split(order, np.flatnonzero(new)[1:]))
+    assert all(len(set(g)) == 1 for g in groups)
+
+
+def test_the_largest_id(spark, prose):
+    base = prose(1, 40)
+    rows = [(Q.LAST, base), (3, base), (None, "x"), (Q.LAST, "y")]
+    check(spark, rows)

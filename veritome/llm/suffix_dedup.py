@@ -6,22 +6,23 @@ k-grams.  Runs of windows with one minimizer occurrence are cut from the texts
 be compared, so the suffixes of the corpus are sorted in independent shards:
 
 1. One pass collects minimizers; ``repeats`` gives those of two places.
-2. A second pass sends the segments of repeated minimizers to shards.  Of equal
-   segments a task sends those of its smallest document only; in the others all
-   bytes are repeated, whatever the rest of the corpus holds.  So a passage found
-   in a third of all documents costs a shard a few entries a task.
-3. A shard sorts the suffixes of its distinct segments by external induced sorting
-   (``induced_sort``); suffixes whose common prefixes reach 50 bytes start with
-   one string, whose smallest document is then known.
+2. A second pass sends the segments of repeated minimizers to shards.  Of segments
+   that are equal byte for byte a task sends, once for every few megabytes of text,
+   those of its smallest document; for its other documents that already says that
+   the whole segment is repeated.  So a passage found in a third of all documents
+   costs a shard a few entries a task.
+3. A shard writes what it gets to files and sorts the suffixes of all its segments by
+   external induced sorting (``induced_sort``), in memory of a fixed size.  Suffixes
+   whose common prefixes reach 50 bytes start with one string; its smallest owner is
+   then known, and whatever larger documents have of it goes.
 4. Spans go back to documents by id and text hash, and are cut out.
 
-A text that equals one of a smaller id is repeated as a whole, which step 2 uses
-within a task.  Long texts are cut into overlapping pieces for hashing only.
+Hashes only decide what meets where; equality is always that of bytes.
 
 Defined results: a null or empty text, or one below 50 bytes, loses nothing; ids
-must be integers; a null id counts as larger than all others, and equal ids (also
-repeated rows) are not smaller than each other; every input row gives one row.
-Other input columns are not read.
+must be integers; a null id counts as 2**63 - 1; equal ids (also repeated rows) are
+not smaller than each other; every input row gives one row.  Other input columns are
+not read.
 """
 
 from __future__ import annotations
@@ -38,14 +39,16 @@ from pyspark.sql import types as T
 
 from veritome.llm import repeats, scratch
 from veritome.llm import textkit as K
-from veritome.llm.induced_sort import sort_suffixes
+from veritome.llm.induced_sort import END, PAD, Column, Work, sort_suffixes
 
 LENGTH, GRAM = 50, 20
 SPAN = LENGTH - GRAM + 1
 #: Bytes of text that are hashed at once.
 PIECE = 1 << 19
-#: Bytes of text between hand-overs of a task, and of distinct segments that are sorted as one string.
-FLUSH_BYTES, SORT_BYTES = 8 << 20, 512 << 10
+#: Bytes of text between hand-overs of a task.
+FLUSH_BYTES = 8 << 20
+#: Segments or windows of a shard that are in memory at once.
+BLOCK = 1 << 16
 LAST = (1 << 63) - 1
 _LOW24 = K.U64((1 << 24) - 1)
 
@@ -84,34 +87,14 @@ def segments(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def _narrow(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(rank, text, hash): ids as numbers with null last, and the hash that tells texts of one id apart."""
+    """(rank, text, hash, id): ids as numbers with null last, and the hash that tells texts of one id apart."""
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
-    return docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(LAST)).alias("rank"), text.alias("text"), F.xxhash64(text).alias("hash"))
-
-
-def _fresh(batch: pa.RecordBatch, seen: dict[int, int], covered: list | None):
-    """Rows of a batch that are no copy of an earlier one with a smaller or equal id; copies are covered as a whole."""
-    rank, hashes = batch.column(0).to_numpy(), batch.column(2).to_numpy()
-    data, offs = K.buffers(batch.column(1))
-    keep = []
-    for r, (d, h, n) in enumerate(zip(rank.tolist(), hashes.tolist(), np.diff(offs).tolist())):
-        if n < LENGTH:
-            continue
-        before = seen.get(h)
-        if before is not None and covered is not None and before != d:
-            covered.append((max(before, d), h, 0, n))
-        if before is None or d < before:
-            seen[h] = d
-            keep.append(r)
-    if len(keep) < len(rank):
-        some = batch.column(1).take(pa.array(keep, pa.int64()))
-        data, offs = K.buffers(some)
-    return rank[keep], hashes[keep], data, offs
+    return docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(LAST)).alias("rank"), text.alias("text"), F.xxhash64(text).alias("hash"), docs[id_col].alias("id"))
 
 
 def _minimizers(narrow: DataFrame, shards: int) -> DataFrame:
     def run(batches):
-        held, size, seen = [], 0, {}
+        held, size = [], 0
 
         def flush():
             if held:
@@ -120,7 +103,8 @@ def _minimizers(narrow: DataFrame, shards: int) -> DataFrame:
                 yield from repeats.by_shard(*repeats.distinct(keys, places), shards)
 
         for batch in batches:
-            rank, _, data, offs = _fresh(batch, seen, None)
+            rank = batch.column(0).to_numpy()
+            data, offs = K.buffers(batch.column(1))
             for lo, _, part, at in pieces(data, offs):
                 _, _, keys, row = segments(part, at)
                 held.append((keys, rank[lo + row]))
@@ -130,7 +114,7 @@ def _minimizers(narrow: DataFrame, shards: int) -> DataFrame:
                     size = 0
         yield from flush()
 
-    return narrow.mapInArrow(run, repeats.SHARD_SCHEMA)
+    return narrow.select("rank", "text").mapInArrow(run, repeats.SHARD_SCHEMA)
 
 
 def _ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -139,8 +123,8 @@ def _ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)
 
 
-#: Parts of a shard's blob: a segment a row, its minimizer, length and number of places; a place a row, its document and start; documents.
-_PARTS = (("key", np.uint32), ("length", np.uint8), ("places", np.uint32), ("document", np.uint32), ("start", np.int64), ("rank", np.int64), ("hash", np.int64), ("bytes", np.uint8))
+#: Parts of a blob: a segment a row, its length and number of places; a place a row, its document and start; documents; the segments' bytes.
+_PARTS = (("length", np.uint8), ("places", np.uint32), ("document", np.uint32), ("start", np.int64), ("rank", np.int64), ("hash", np.int64), ("bytes", np.uint8))
 
 
 def _encode(parts: dict[str, np.ndarray]) -> bytes:
@@ -187,13 +171,31 @@ def _span_batches(rank, hashes, start, end) -> Iterator[pa.RecordBatch]:
 _SPANS = "rank long, hash long, start long, end long"
 
 
+def _alike(data: np.ndarray, at: np.ndarray, length: np.ndarray, content: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of segments by content, then rank, and which of them begin a group of equal ones."""
+    while True:
+        order = np.lexsort((rank, content))
+        new = np.concatenate([[True], content[order][1:] != content[order][:-1]])
+        first = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
+        again = np.flatnonzero(~new)
+        one, other = order[again], first[again]
+        same = length[one] == length[other]
+        one, other = one[same], other[same]
+        if len(one):
+            equal = data[_ragged(at[one], length[one])] == data[_ragged(at[other], length[one])]
+            same[same] = np.logical_and.reduceat(equal, np.cumsum(length[one]) - length[one])
+        if same.all():
+            return order, new
+        odd = order[again[~same]]  # equal hashes of different bytes: these stay single
+        content = content.copy()
+        content[odd] = K.mix(content[odd] + odd.astype(np.uint64) + K.U64(1))
+
+
 def _send(narrow: DataFrame, shards: int, wanted: repeats.Filter) -> DataFrame:
     """Blobs of segments for the shards, and spans already known in the task."""
     shared = narrow.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches):
-        seen: dict[int, int] = {}
-        covered: list = []
         held: list = []
         texts: list[np.ndarray] = []
         ids: list = []
@@ -201,18 +203,12 @@ def _send(narrow: DataFrame, shards: int, wanted: repeats.Filter) -> DataFrame:
 
         def flush():
             nonlocal size, documents
-            if covered:
-                yield from _span_batches(*np.array(covered, np.int64).T)
-                covered.clear()
             if held:
                 data = np.concatenate(texts)
                 rank, hashes = (np.concatenate(x) for x in zip(*ids))
                 at, length, key, content, document, start = (np.concatenate(x) for x in zip(*held))
-                order = np.lexsort((rank[document], content))
-                first = np.flatnonzero(np.concatenate([[True], content[order][1:] != content[order][:-1]]))
-                group = np.zeros(len(order), np.int64)
-                group[first] = 1
-                group = np.cumsum(group) - 1
+                order, new = _alike(data, at, length, content, rank[document])
+                first, group = np.flatnonzero(new), np.cumsum(new) - 1
                 smallest = rank[document[order[first]]]
                 sent = rank[document[order]] == smallest[group]
                 rest = order[~sent]
@@ -220,7 +216,7 @@ def _send(narrow: DataFrame, shards: int, wanted: repeats.Filter) -> DataFrame:
                 places = np.bincount(group[sent], minlength=len(first))
                 one = order[first]
                 shard = repeats.shard_of(key[one], shards)
-                by = np.lexsort((content[one], key[one], shard))
+                by = np.lexsort((key[one], shard))
                 place_order = order[sent]
                 place_first = np.cumsum(places) - places
                 bounds = np.searchsorted(shard[by], np.arange(shards + 1))
@@ -231,7 +227,7 @@ def _send(narrow: DataFrame, shards: int, wanted: repeats.Filter) -> DataFrame:
                     where = place_order[_ragged(place_first[mine], places[mine])]
                     docs_here, local = np.unique(document[where], return_inverse=True)
                     blob = _encode({
-                        "key": key[one[mine]] & K.U64(0xFFFFFFFF), "length": length[one[mine]], "places": places[mine], "document": local, "start": start[where],
+                        "length": length[one[mine]], "places": places[mine], "document": local, "start": start[where],
                         "rank": rank[docs_here], "hash": hashes[docs_here], "bytes": data[_ragged(at[one[mine]], length[one[mine]])],
                     })
                     yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([blob], pa.binary()), *(pa.nulls(1, pa.int64()) for _ in range(4))], names=["shard", "blob", "rank", "hash", "start", "end"])
@@ -241,7 +237,8 @@ def _send(narrow: DataFrame, shards: int, wanted: repeats.Filter) -> DataFrame:
             size = documents = 0
 
         for batch in batches:
-            rank, hashes, data, offs = _fresh(batch, seen, covered)
+            rank, hashes = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+            data, offs = K.buffers(batch.column(1))
             for lo, base, part, at in pieces(data, offs):
                 a, b, key, row = segments(part, at)
                 ok = np.flatnonzero(shared.value.passes(key))
@@ -258,87 +255,104 @@ def _send(narrow: DataFrame, shards: int, wanted: repeats.Filter) -> DataFrame:
                     yield from flush()
         yield from flush()
 
-    return narrow.mapInArrow(run, f"shard int, blob binary, {_SPANS}")
-
-
-def least_owner(contents: np.ndarray, lengths: np.ndarray, owner: np.ndarray) -> np.ndarray:
-    """Smallest owner of the 50-byte string at each window of the given byte strings, window after window."""
-    starts = np.cumsum(lengths + 1) - (lengths + 1)
-    # A byte that UTF-8 never uses ends each string, so that no common prefix runs on into the next.
-    text = np.full(int((lengths + 1).sum()), 0xFF, np.uint8)
-    text[_ragged(starts, lengths)] = contents
-    order, common = sort_suffixes(text)
-    windows = lengths - LENGTH + 1
-    place = _ragged(starts, windows)
-    holder = np.repeat(owner, windows)
-    number = np.full(len(text), -1, np.int64)
-    number[place] = np.arange(len(place))
-    # Only windows take part; the common prefix of two is the least met between them.
-    is_window = number[order] >= 0
-    group = np.cumsum(common < LENGTH)[is_window]
-    which = number[order[is_window]]
-    first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else np.empty(0, np.int64)
-    best = np.minimum.reduceat(holder[which], first) if len(first) else holder
-    out = np.empty(len(place), np.int64)
-    out[which] = np.repeat(best, np.diff(np.append(first, len(which))))
-    return out
-
-
-def _resolve(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
-    """Spans of one shard."""
-    parts = [_decode(b) for b in blobs]
-    shift = np.cumsum([0, *(len(p["rank"]) for p in parts)])
-    get = lambda k: np.concatenate([p[k] for p in parts])
-    key, length, places = get("key"), get("length").astype(np.int64), get("places").astype(np.int64)
-    document = np.concatenate([p["document"] + d for p, d in zip(parts, shift)]).astype(np.int64)
-    start, rank, hashes, data = get("start"), get("rank"), get("hash"), get("bytes")
-    at = np.cumsum(length) - length
-    place_at = np.cumsum(places) - places
-    place_rank = rank[document]
-    content = np.empty(len(key), np.uint64)
-    for lo in range(0, len(key), 1 << 16):
-        s = slice(lo, min(lo + (1 << 16), len(key)))
-        base = at[s.start]
-        content[s] = K.Prefix(data[base : at[s.stop - 1] + length[s.stop - 1]]).of(at[s] - base, at[s] - base + length[s])
-    # Equal segments of different tasks become one, with the smallest of their documents.
-    order = np.lexsort((content, key))
-    new = np.concatenate([[True], (key[order][1:] != key[order][:-1]) | (content[order][1:] != content[order][:-1])])
-    one = order[np.flatnonzero(new)]
-    distinct = np.empty(len(key), np.int64)
-    distinct[order] = np.cumsum(new) - 1
-    owner = np.full(len(one), LAST, np.int64)
-    np.minimum.at(owner, distinct, np.minimum.reduceat(place_rank, place_at))
-    most = np.full(len(one), -1, np.int64)
-    np.maximum.at(most, distinct, np.maximum.reduceat(place_rank, place_at))
-    windows = length[one] - LENGTH + 1
-    window_at = np.cumsum(windows) - windows
-    least = np.repeat(owner, windows)
-    # Segments that share a minimizer with others, of which one belongs to another document, are sorted in runs of whole minimizers.
-    begin = np.flatnonzero(np.concatenate([[True], key[one][1:] != key[one][:-1]]))
-    sizes = np.diff(np.append(begin, len(one)))
-    low, high = np.minimum.reduceat(owner, begin), np.maximum.reduceat(most, begin)
-    groups = np.flatnonzero((sizes > 1) & (low != high))
-    volume = np.add.reduceat(length[one], begin)[groups]
-    batch_of = (np.cumsum(volume) - volume) // SORT_BYTES
-    for run in np.split(groups, np.flatnonzero(np.diff(batch_of)) + 1) if len(groups) else []:
-        some = _ragged(begin[run], sizes[run])
-        text = data[_ragged(at[one[some]], length[one[some]])]
-        least[_ragged(window_at[some], windows[some])] = least_owner(text, length[one[some]], owner[some])
-    # A place loses every window whose string has a smaller owner.
-    segment = np.repeat(distinct, places)
-    top, bottom = np.maximum.reduceat(least, window_at)[segment], np.minimum.reduceat(least, window_at)[segment]
-    whole = top < place_rank
-    mixed = np.flatnonzero(~whole & (bottom < place_rank))
-    spans = [(place_rank[whole], hashes[document[whole]], start[whole], start[whole] + length[one][segment[whole]])]
-    for lo in range(0, len(mixed), 1 << 14):
-        part = mixed[lo : lo + (1 << 14)]
-        n = windows[segment[part]]
-        hit = least[_ragged(window_at[segment[part]], n)] < np.repeat(place_rank[part], n)
-        of = np.repeat(part, n)
-        begin_at = np.repeat(start[part], n) + _ragged(np.zeros(len(part), np.int64), n)
-        spans.append((place_rank[of[hit]], hashes[document[of[hit]]], begin_at[hit], begin_at[hit] + LENGTH))
-    for batch in _span_batches(*(np.concatenate(x) for x in zip(*spans))):
-        yield batch.select(["rank", "hash", "start", "end"])
+    return narrow.select("rank", "text", "hash").mapInArrow(run, f"shard int, blob binary, {_SPANS}")
+
+
+class Shard:
+    """The segments of one shard in files; ``spans`` sorts their suffixes."""
+
+    def __init__(self, work: Work | None = None) -> None:
+        self.work = work or Work()
+        self.raw, self.segment = Column(np.uint8), Column(np.uint32)  # bytes, and the segment of each
+        self.begin, self.length, self.owner, self.first = Column(np.int64), Column(np.uint8), Column(np.int64), Column(np.int64)
+        self.rank, self.hash, self.start = Column(np.int64), Column(np.int64), Column(np.int64)  # places
+        self.raw.append(np.array([END], np.uint8))
+        self.segment.append(np.zeros(1))
+
+    def add(self, blob: bytes) -> None:
+        part = _decode(blob)
+        length, places, document = part["length"].astype(np.int64), part["places"].astype(np.int64), part["document"]
+        begin = np.cumsum(length + 1) - (length + 1)
+        # A byte that UTF-8 never uses ends each string, so that no common prefix runs on into the next.
+        text = np.full(int((length + 1).sum()), END, np.uint8)
+        text[_ragged(begin, length)] = part["bytes"]
+        self.segment.append(np.repeat(np.arange(self.length.size, self.length.size + len(length)), length + 1))
+        self.begin.append(begin + self.raw.size)
+        self.length.append(length)
+        first = np.cumsum(places) - places
+        self.first.append(first + self.rank.size)
+        rank = part["rank"][document]
+        self.owner.append(rank[first])
+        self.rank.append(rank)
+        self.hash.append(part["hash"][document])
+        self.start.append(part["start"])
+        self.raw.append(text)
+
+    def _windows(self) -> tuple[np.ndarray, np.ndarray]:
+        """Places with 50 bytes before their string ends, in order, and a number for what they start with."""
+        segment, begin, length = self.segment.mapped(), self.begin.mapped(), self.length.mapped()
+        window, group, breaks = Column(np.int64), Column(np.int64), 0
+
+        def emit(position: np.ndarray, common: np.ndarray) -> None:
+            nonlocal breaks
+            # A shorter suffix shares less than 50 bytes with either neighbour, so windows between two breaks share 50.
+            number = breaks + np.cumsum(common < LENGTH)
+            of = segment[position]
+            whole = begin[of] + length[of] - position >= LENGTH
+            window.append(position[whole])
+            group.append(number[whole])
+            breaks = int(number[-1])
+
+        self.raw.append(np.zeros(PAD))
+        sort_suffixes(self.raw.mapped(), emit, self.work)
+        return window.mapped(), group.mapped()
+
+    def _repeated(self) -> np.ndarray:
+        """1 at each place that starts a 50-byte string which a smaller document has too."""
+        marks = Column.blank(np.uint8, self.segment.size).mapped("r+")
+        segment, owner = self.segment.mapped(), self.owner.mapped()
+        window, group = self._windows()
+        lo = 0
+        while lo < len(window):
+            hi = min(len(window), lo + BLOCK)
+            if hi < len(window) and group[hi - 1] == group[hi]:
+                whole = int(np.searchsorted(group[lo:hi], group[hi]))
+                hi = lo + whole if whole else int(np.searchsorted(group, group[hi], "right"))
+            if group[lo] == group[hi - 1]:  # one group, perhaps far larger than a block
+                low = min(int(owner[segment[window[a : min(a + BLOCK, hi)]]].min()) for a in range(lo, hi, BLOCK))
+                for a in range(lo, hi, BLOCK):
+                    some = window[a : min(a + BLOCK, hi)]
+                    marks[some[owner[segment[some]] > low]] = 1
+            else:
+                some, number = window[lo:hi], group[lo:hi]
+                own = owner[segment[some]]
+                first = np.flatnonzero(np.concatenate([[True], number[1:] != number[:-1]]))
+                low = np.repeat(np.minimum.reduceat(own, first), np.diff(np.append(first, hi - lo)))
+                marks[some[own > low]] = 1
+            lo = hi
+        return marks
+
+    def spans(self) -> Iterator[pa.RecordBatch]:
+        """Every place loses the windows of its segment that a smaller document has."""
+        if not self.length.size:
+            return
+        marks, begin, length, first = self._repeated(), self.begin.mapped(), self.length.mapped(), self.first.mapped()
+        rank, hashes, start = self.rank.mapped(), self.hash.mapped(), self.start.mapped()
+        for lo in range(0, len(length), BLOCK):
+            hi = min(lo + BLOCK, len(length))
+            base = int(begin[lo])
+            mark = marks[base : int(begin[hi - 1]) + int(length[hi - 1])]
+            edge = np.diff(np.concatenate([[0], mark, [0]]).astype(np.int8))
+            a, b = np.flatnonzero(edge > 0), np.flatnonzero(edge < 0) - 1 + LENGTH
+            of = np.searchsorted(begin[lo:hi], a + base, "right") - 1 + lo
+            a, b = a + base - begin[of], b + base - begin[of]
+            ends = np.append(first[lo + 1 : hi], first[hi] if hi < len(first) else len(rank))
+            places = (ends - first[lo:hi])[of - lo]
+            place, which = _ragged(first[of], places), np.repeat(np.arange(len(of)), places)
+            for at in range(0, len(place), BLOCK):
+                p, w = place[at : at + BLOCK], which[at : at + BLOCK]
+                for batch in _span_batches(rank[p], hashes[p], start[p] + a[w], start[p] + b[w]):
+                    yield batch.select(["rank", "hash", "start", "end"])
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -347,8 +361,16 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     narrow, shards = _narrow(docs, id_col, text_col), repeats.shards(spark)
 
     def merge(batches):
-        for _, blobs in repeats.groups(batches):
-            yield from _resolve(blobs)
+        shard, of = None, None
+        for batch in batches:
+            for s, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if s != of:
+                    if shard:
+                        yield from shard.spans()
+                    shard, of = Shard(), s
+                shard.add(blob.as_py())
+        if shard:
+            yield from shard.spans()
 
     with scratch.small_batches(spark):
         wanted = repeats.repeated_filter(_minimizers(narrow, shards))
@@ -378,13 +400,15 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """id, n_bytes, n_removed, n_spans, kept_sha256 of every row; with ``keep_text`` the bytes that stay."""
     spans = repeated_spans(docs, id_col, text_col)
     # Spans and texts meet in one shuffle, spans first; a document's rows are read in a row.
-    rows = spans.select("rank", "hash", "start", "end", F.lit(None).cast("string").alias("text")).unionByName(_narrow(docs, id_col, text_col).select("rank", "hash", F.lit(None).cast("long").alias("start"), F.lit(None).cast("long").alias("end"), "text"))
+    narrow, none = _narrow(docs, id_col, text_col), F.lit(None)
+    id_type = docs.schema[id_col].dataType
+    rows = spans.select("rank", "hash", "start", "end", none.cast("string").alias("text"), none.cast(id_type).alias("id")).unionByName(narrow.select("rank", "hash", none.cast("long").alias("start"), none.cast("long").alias("end"), "text", "id"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartition(parts, "rank", "hash").sortWithinPartitions("rank", "hash", F.col("start").asc_nulls_last())
-    kinds = [("rank", T.LongType(), pa.int64()), ("n_bytes", T.LongType(), pa.int64()), ("n_removed", T.LongType(), pa.int64()), ("n_spans", T.LongType(), pa.int64()), ("kept_sha256", T.StringType(), pa.string())]
+    kinds = [("n_bytes", T.LongType(), pa.int64()), ("n_removed", T.LongType(), pa.int64()), ("n_spans", T.LongType(), pa.int64()), ("kept_sha256", T.StringType(), pa.string())]
     if keep_text:
         kinds.append(("kept", T.BinaryType(), pa.binary()))
-    names = [k for k, _, _ in kinds]
+    names = [id_col, *(k for k, _, _ in kinds)]
 
     def run(batches):
         owner, held = None, []  # spans of the document that comes next, which may lie in an earlier batch
@@ -393,8 +417,9 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             rank, hashes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             start, end = (batch.column(k).fill_null(-1).to_numpy() for k in (2, 3))
             data, offs = K.buffers(batch.column(4))
-            raw, out, at = data.tobytes(), {k: [] for k in names}, 0
-            for r in np.flatnonzero(start < 0).tolist():
+            texts = np.flatnonzero(start < 0)
+            raw, out, at = data.tobytes(), [[] for _ in kinds], 0
+            for r in texts.tolist():
                 if owner != (rank[r], hashes[r]):
                     owner, held = (rank[r], hashes[r]), []
                 if r > at:
@@ -402,16 +427,15 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 at = r + 1
                 text = raw[offs[r] : offs[r + 1]]
                 removed, runs, kept = _cut_out(text, *(np.concatenate(x) for x in zip(*held))) if held else (0, 0, text)
-                for k, v in zip(names, (rank[r], len(text), removed, runs, hashlib.sha256(kept).hexdigest(), kept)):
-                    out[k].append(v)
+                for column, v in zip(out, (len(text), removed, runs, hashlib.sha256(kept).hexdigest(), kept)):
+                    column.append(v)
             if at < n:
                 if owner != (rank[n - 1], hashes[n - 1]):
                     owner, held = (rank[n - 1], hashes[n - 1]), []
                 held.append((start[at:].copy(), end[at:].copy()))
-            yield pa.RecordBatch.from_arrays([pa.array(out[k], kind) for k, _, kind in kinds], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(5).take(pa.array(texts)), *(pa.array(v, kind) for v, (_, _, kind) in zip(out, kinds))], names=names)
 
-    done = rows.select("rank", "hash", "start", "end", "text").mapInArrow(run, T.StructType([T.StructField(k, t) for k, t, _ in kinds]))
-    return done.select(F.when(F.col("rank") != LAST, F.col("rank")).cast(docs.schema[id_col].dataType).alias(id_col), *names[1:])
+    return rows.select("rank", "hash", "start", "end", "text", "id").mapInArrow(run, T.StructType([T.StructField(id_col, id_type), *(T.StructField(k, t) for k, t, _ in kinds)]))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
