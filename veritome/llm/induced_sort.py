@@ -72,6 +72,7 @@ class Column:
 
 
 def _places(n: int):
+    """A type for positions below n."""
     return np.uint32 if n < 1 << 32 else np.int64
 
 
@@ -299,6 +300,7 @@ class Level:
             ordered.append(place)
             count += int(new.sum())
             last = key[-1]
+        self.runs = []  # their files go
         return ordered.mapped(), name, count
 
 

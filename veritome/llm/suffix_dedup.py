@@ -47,6 +47,8 @@ SPAN = LENGTH - GRAM + 1
 PIECE = 1 << 19
 #: Bytes of text between hand-overs of a task.
 FLUSH_BYTES = 8 << 20
+#: Shards a shuffle partition: a task sorts them one after the other, with files of about 20 times a shard.
+SHARDS_A_PARTITION = 8
 #: Segments or windows of a shard that are in memory at once.
 BLOCK = 1 << 16
 LAST = (1 << 63) - 1
@@ -291,7 +293,8 @@ class Shard:
     def _windows(self) -> tuple[np.ndarray, np.ndarray]:
         """Places with 50 bytes before their string ends, in order, and a number for what they start with."""
         segment, begin, length = self.segment.mapped(), self.begin.mapped(), self.length.mapped()
-        window, group, breaks = Column(np.int64), Column(np.int64), 0
+        kind = np.uint32 if len(segment) < 1 << 32 else np.int64
+        window, group, breaks = Column(kind), Column(kind), 0
 
         def emit(position: np.ndarray, common: np.ndarray) -> None:
             nonlocal breaks
@@ -375,7 +378,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     with scratch.small_batches(spark):
         wanted = repeats.repeated_filter(_minimizers(narrow, shards))
         scratch.free(spark)
-        sent = scratch.cut(_send(narrow, shards, wanted))
+        sent = scratch.cut(_send(narrow, SHARDS_A_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions")), wanted))
 
         found = repeats.grouped(sent.where("shard is not null").select("shard", "blob")).mapInArrow(merge, _SPANS)
         spans = scratch.cut(found.unionByName(sent.where("shard is null").select("rank", "hash", "start", "end")))
