@@ -2,9 +2,8 @@
 
 zstandard dictionaries are trained on good and on bad labelled text.  Each window
 of a text is compressed with both; the difference of the sizes over their sum
-says which kind of text explains the window better, and the size against the
-window's length says how repetitive it is.  Means and extremes over the windows
-are calibrated to the probability of good quality.  A class weighs as the square
+says which kind of text explains the window better.  Means and extremes over the
+windows are calibrated to the probability of good quality.  A class weighs as the square
 root of its share of the training labels, between equal weights and the shares
 themselves, and even odds lie at the threshold of 0.7.
 
@@ -16,7 +15,6 @@ labelled rows of both classes every score is 1; a null id is not held out.
 from __future__ import annotations
 
 import numpy as np
-import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,12 +29,8 @@ WINDOW, DICTIONARY_BYTES = 512, 32768
 
 
 def dictionary(texts: list[str]) -> tuple[bytes, bool]:
-    """A trained dictionary; the text itself where there is too little to train on."""
-    pieces = [w for t in texts for w in C.windows(t.encode()[: 16 * WINDOW], WINDOW)]
-    try:
-        return zstandard.train_dictionary(DICTIONARY_BYTES, pieces).as_bytes(), False
-    except zstandard.ZstdError:
-        return b"".join(pieces)[-DICTIONARY_BYTES:], True
+    """A dictionary trained on all windows of the whole texts."""
+    return C.trained([w for t in texts for w in C.windows(t.encode(), WINDOW)], DICTIONARY_BYTES)
 
 
 class Model:
@@ -64,20 +58,19 @@ class Model:
             self._pair = C.compressor(*self.good), C.compressor(*self.bad)
         pieces = C.windows(raw, WINDOW)
         if not pieces:
-            return [0.0] * 7
+            return [0.0] * 4
         g = np.fromiter(map(len, map(self._pair[0].compress, pieces)), float, len(pieces))
         b = np.fromiter(map(len, map(self._pair[1].compress, pieces)), float, len(pieces))
         n = np.fromiter(map(len, pieces), float, len(pieces))
         lean = (g - b) / (g + b)
-        ratio = np.minimum(g, b).sum() / n.sum()
-        return [(g - b).sum() / (g + b).sum(), np.average(lean, weights=n), lean.max(), lean.min(), ratio, ratio * ratio, np.log1p(n.sum())]
+        return [(g - b).sum() / (g + b).sum(), np.average(lean, weights=n), lean.max(), lean.min()]
 
     def score(self, data: np.ndarray, offs: np.ndarray) -> dict:
         if self.calibration is None:
             p = np.ones(len(offs) - 1)
         else:
             raw = data.tobytes()
-            p = self.calibration(np.array([self.features(raw[a:b]) for a, b in zip(offs[:-1].tolist(), offs[1:].tolist())], float).reshape(len(offs) - 1, 7))
+            p = self.calibration(np.array([self.features(raw[a:b]) for a, b in zip(offs[:-1].tolist(), offs[1:].tolist())], float).reshape(len(offs) - 1, 4))
         return {"score": p, "predicted": (p >= THRESHOLD).astype(np.int32)}
 
 

@@ -1,18 +1,21 @@
 """Compression-distance toxicity.
 
-Two zstandard dictionaries: one from ordinary text, one from that text and the
-passages typical of toxic text.  A window of a text is compressed with either; a
-window that the toxic dictionary shortens by more than ordinary windows ever gain
-holds toxic wording.  Gains of a text's windows (the two largest, the number
-beyond two thresholds, the mean) are calibrated to a probability.
-
-Typical passages are runs of 5-byte strings, each within a word or with the blank
-before it, that occur in toxic text many times as often as in ordinary text;
-occurrences in toxic text count once per preceding context, so copies add nothing.
+Two zstandard dictionaries are trained separately, one on the windows of ordinary
+texts and one on those of toxic texts.  A window is compressed with the ordinary one
+alone and with the toxic one added behind it, so that strings which both know cancel
+out; the bytes saved are the window's gain.  Toxic texts are mostly ordinary, so the
+toxic dictionary is trained again, three times, on those of its windows that gain more than
+all but a few windows of ordinary texts do.
+
+Thresholds on the gain are quantiles of ordinary windows.  A text's largest gains, the
+number of its windows beyond each threshold and its mean gain are calibrated to a
+probability.  Half of the sampled texts of a class train its dictionary; thresholds
+and calibration use the other half.
 
 Defined results: null and empty texts get the score of a text without any gain;
 every input row is scored, repeated ids included; without labelled rows of both
-classes every score is 0; a null id is not held out.  Long texts are scored whole.
+classes every score is 0; a null id is not held out.  Training texts and scored texts
+of any length are read whole.
 """
 
 from __future__ import annotations
@@ -28,65 +31,23 @@ from veritome.llm import textkit as K
 MODULUS, HELD_OUT, THRESHOLD = 5, 0, 0.5
 #: Bounds of the training sample: rows a class.
 SAMPLE = {1: 2000, 0: 5000}
-WINDOW, GRAM, MIN_MATCH = 64, 5, 6
-#: A typical string occurs in this many contexts, and this many times as often as in ordinary text.
-MIN_CONTEXTS, MIN_ODDS = 10, 15.0
-BACKGROUND_BYTES, TYPICAL_BYTES = 16384, 16000
-
-
-def _strings(texts: list[str]):
-    """Chunks of the texts as blanked bytes with the starts, hashes and context hashes of their strings."""
-    for lo in range(0, len(texts), 400):
-        import pyarrow as pa
-
-        data, offs = K.buffers(pa.array(texts[lo : lo + 400], pa.string()))
-        data = C.blanks(data, True)
-        prefix = K.Prefix(data)
-        at = np.arange(max(0, len(data) - GRAM + 1))
-        gaps = np.concatenate([[0], np.cumsum(data == 32)])
-        row_end = offs[np.searchsorted(offs, at, "right")] if len(at) else at
-        at = at[(at + GRAM <= row_end) & (gaps[at + GRAM] == gaps[at + 1])] if len(at) else at
-        yield data, at, prefix.of(at, at + GRAM), prefix.of(np.maximum(at - 8, 0), at + GRAM)
-
-
-def _contexts(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct strings and the number of distinct contexts of each."""
-    if not parts:
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
-    strings, contexts = (np.concatenate(x) for x in zip(*parts))
-    order = np.lexsort((contexts, strings))
-    strings, contexts = strings[order], contexts[order]
-    new = np.ones(len(strings), bool)
-    new[1:] = (strings[1:] != strings[:-1]) | (contexts[1:] != contexts[:-1])
-    return np.unique(strings[new], return_counts=True)
-
-
-def typical(toxic: list[str], ordinary: list[str]) -> bytes:
-    """Passages typical of toxic text, the most frequent last."""
-    grams, counts = _contexts([(h, c) for _, _, h, c in _strings(toxic)])
-    enough = counts >= min(MIN_CONTEXTS, max(3, len(toxic) // 40))
-    grams, counts = grams[enough], counts[enough]
-    seen, size = np.zeros(len(grams)), 0
-    for data, _, h, c in _strings(ordinary):  # chunk by chunk: there is much more ordinary text
-        known = np.isin(h, grams)
-        found, n = _contexts([(h[known], c[known])])
-        seen[np.searchsorted(grams, found)] += n
-        size += len(data)
-    odds = (counts / max(1, sum(len(t.encode()) for t in toxic))) / ((seen + 0.5) / max(1, size))
-    keep = grams[odds >= MIN_ODDS]
-    runs: dict[bytes, int] = {}
-    for data, at, h, _ in _strings(toxic):
-        at = at[np.isin(h, keep)]
-        edge = np.zeros(len(data) + 1, np.int64)
-        edge[at] += 1
-        np.add.at(edge, at + GRAM, -1)
-        inside = np.concatenate([[False], np.cumsum(edge[:-1]) > 0, [False]])
-        turns = np.flatnonzero(inside[1:] != inside[:-1])
-        for a, b in zip(turns[::2], turns[1::2]):
-            run = data[a:b].tobytes()
-            runs[run] = runs.get(run, 0) + 1
-    often = sorted((n, run) for run, n in runs.items() if n >= 3)
-    return (b" ".join(run for _, run in often) + b" ")[-TYPICAL_BYTES:] if often else b""
+WINDOW, MIN_MATCH = 64, 7
+#: Sizes of the dictionaries, and how the toxic one is trained: runs of about ``k`` bytes chosen by their ``d``-byte strings.
+ORDINARY_BYTES, TOXIC_BYTES = 512 << 10, 3000
+COVER = {"k": 14, "d": 8}
+#: Times that the toxic dictionary is trained again, and the ordinary quantile that its windows must pass.
+ROUNDS, CHOSEN = 3, 99.5
+#: Ordinary quantiles that are the thresholds of the features.
+THRESHOLDS = (97.0, 99.5)
+
+
+def _windows(texts: list[str]) -> list[bytes]:
+    """Distinct windows of the texts, so that copies count once."""
+    return list(dict.fromkeys(w for t in texts for w in C.windows(_blank(t.encode()), WINDOW)))
+
+
+def _blank(raw: bytes) -> bytes:
+    return C.blanks(np.frombuffer(raw, np.uint8), True).tobytes()
 
 
 class Model:
@@ -98,25 +59,37 @@ class Model:
         self._pair = None
         if not toxic or not ordinary:
             return
-        share = max(1, BACKGROUND_BYTES // min(len(ordinary), 60))
-        plain = b"".join(t.encode()[:share] for t in ordinary[:60])
-        self.background = C.blanks(np.frombuffer(plain, np.uint8), True).tobytes()
-        self.toxic = self.background + typical(toxic, ordinary)
+        plain = _windows(ordinary[1::2] or ordinary)
+        self.ordinary = C.trained(_windows(ordinary[::2]), ORDINARY_BYTES)[0]
+        training = _windows(toxic[::2])
+        self._train(training)
+        for _ in range(ROUNDS):
+            least = np.percentile(self._gains(plain), CHOSEN)
+            if chosen := [w for w, gain in zip(training, self._gains(training)) if gain >= least]:
+                self._train(chosen)
+        self.thresholds = np.percentile(self._gains(plain), THRESHOLDS)
+        toxic, ordinary = toxic[1::2] or toxic, ordinary[1::2] or ordinary
         x = np.array([self.features(t.encode()) for t in [*toxic, *ordinary]])
         y = np.repeat([1.0, 0.0], [len(toxic), len(ordinary)])
         self.calibration = C.Calibration(x, y, np.ones(len(y)), ridge=0.01)
 
+    def _train(self, windows: list[bytes]) -> None:
+        self.toxic, self._pair = C.trained(windows, TOXIC_BYTES, **COVER)[0], None
+
     def __getstate__(self):
         return self.__dict__ | {"_pair": None}
 
-    def features(self, raw: bytes) -> list[float]:
+    def _gains(self, windows: list[bytes]) -> np.ndarray:
+        """Bytes that the toxic dictionary saves on each window."""
         if self._pair is None:
-            self._pair = C.compressor(self.background, True, MIN_MATCH), C.compressor(self.toxic, True, MIN_MATCH)
-        ordinary, toxic = (c.compress for c in self._pair)
-        text = C.blanks(np.frombuffer(raw, np.uint8), True).tobytes()
-        gains = np.array([len(ordinary(w)) - len(toxic(w)) for w in C.windows(text, WINDOW)] or [0])
-        best = np.sort(np.concatenate([[-2, -2], gains]))
-        return [min(best[-1], 8), min(best[-2], 8), np.log1p((gains >= 3).sum()), np.log1p((gains >= 5).sum()), np.log1p(len(gains)), max(gains.mean(), -1.0)]
+            self._pair = C.compressor(self.ordinary, True, MIN_MATCH), C.compressor(self.ordinary + self.toxic, True, MIN_MATCH)
+        ordinary, both = (c.compress for c in self._pair)
+        return np.array([len(ordinary(w)) - len(both(w)) for w in windows] or [0])
+
+    def features(self, raw: bytes) -> list[float]:
+        gains = self._gains(C.windows(_blank(raw), WINDOW))
+        best = np.sort(np.concatenate([[-2, -2, -2], gains]))
+        return [min(best[-1], 8), min(best[-2], 8), *(np.log1p((gains > t).sum()) for t in self.thresholds), np.log1p(len(gains)), gains.mean()]
 
     def score(self, data: np.ndarray, offs: np.ndarray) -> dict:
         if self.calibration is None:
