@@ -58,3 +58,35 @@ def test_windows_hold_the_whole_text():
     for size in (8, 64, 512):
         parts = C.windows(raw, size)
         assert b"".join(parts) == raw and max(map(len, parts)) <= size
+
+
+def test_training_texts_are_whole(spark, prose, monkeypatch):
+    long = prose(1, 30_000) + " veritas " + "zzzmark " * 40
+    docs = documents(spark, [(i, prose(i, 60)) for i in range(1, 40)] + [(50, long)])
+    labels = spark.createDataFrame([(i, int(i == 50)) for i in [*range(1, 40), 50]], "doc_id long, toxic int")
+    texts = C.sample(docs, labels, "toxic", 3, 99, {1: 10, 0: 100})
+    assert len(long) > 100_000 and texts[1] == [long] and len(texts[0]) == 39
+    assert any(b"zzzmark" in w for w in X._windows(texts[1]))
+    pieces: list = []
+    monkeypatch.setattr(C, "trained", lambda windows, size: (b"".join(pieces.extend(windows) or windows), True))
+    G.dictionary([long, *texts[0]])
+    assert b"".join(pieces).startswith(long.encode())
+
+
+def test_dictionaries_are_trained_apart(prose):
+    words = ["grumbloid", "snarkface", "vilewort"]
+    ordinary = [prose(i, 90) for i in range(400)]
+    toxic = [f"{prose(1000 + i, 20)} {words[i % 3]} {prose(2000 + i, 20)} {words[i % 2]}" for i in range(200)]
+    model = X.Model({1: toxic, 0: ordinary})
+    assert all(w.encode() in model.toxic and w.encode() not in model.ordinary for w in words)
+    known, unknown = model._gains([b"and the grumbloid of the vilewort er"]), model._gains([b"and the rest of the other in the er"])
+    assert known[0] > unknown[0] + 3
+
+
+def test_very_long_texts_are_scored_whole(spark, prose):
+    docs, labels, _ = corpus(spark, prose, "toxic")
+    model = X.fit(docs, labels)
+    calm = prose(77, 40_000)
+    marked = calm + " " + " ".join(f"{w} {prose(k, 3)}" for k, w in enumerate(["grumbloid", "snarkface", "vilewort"] * 6))
+    got = {r.doc_id: r.score for r in X.toxicity(documents(spark, [(1, calm), (2, marked)]), model).collect()}
+    assert len(calm) > 150_000 and got[2] > got[1]
