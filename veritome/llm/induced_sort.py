@@ -36,8 +36,8 @@ PAD = CAP + 8
 END = 0xFF
 #: Bytes of waiting tuples that stay in memory.
 MEMORY = 16 << 20
-#: Bytes a tuple may take while a block of them is worked on.
-_TUPLE = 96
+#: Memory for each tuple of a block; small blocks let in few tuples of their own and stay in the processor's cache.
+_TUPLE = 384
 
 
 class Work:
@@ -354,8 +354,8 @@ def _induce_names(level: Level, seeds: Iterator[np.ndarray], down: bool) -> Colu
         """Which of the tuples let in the suffix before them, that suffix and its priority."""
         value = coded[position - 1]
         which = np.flatnonzero(((value & 1) == down) & (value > 1))
-        found = position[which] - 1
-        return which, found, priority(found)
+        symbol = (value[which] >> 1).astype(np.int64)
+        return which, position[which] - 1, top - symbol if down else symbol
 
     given = _Seeds(seeds, priority)
     while True:
