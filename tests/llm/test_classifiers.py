@@ -79,8 +79,6 @@ def test_dictionaries_are_trained_apart(prose):
     toxic = [f"{prose(1000 + i, 20)} {words[i % 3]} {prose(2000 + i, 20)} {words[i % 2]}" for i in range(200)]
     model = X.Model({1: toxic, 0: ordinary})
     assert all(w.encode() in model.toxic and w.encode() not in model.ordinary for w in words)
-    known, unknown = model._gains([b"and the grumbloid of the vilewort er"]), model._gains([b"and the rest of the other in the er"])
-    assert known[0] > unknown[0]
 
 
 def test_very_long_texts_are_scored_whole(spark, prose):
