@@ -15,7 +15,7 @@ from veritome.sources.schema import TABLES
 from veritome.streaming.load import load_stream
 from veritome.tools import run_tool
 
-A, B = "0b5f3c1e-8d2a-4f6b-9c3d-2e1f0a9b8c7d", "1c6a4d2f-9e3b-4a7c-8d4e-3f2a1b0c9d8e"
+A, B = "5d41402a-bc4b-4a76-b971-9d911017c592", "7d793037-a076-4186-974b-0282f2f435e7"
 
 
 @pytest.fixture()

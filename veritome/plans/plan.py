@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field, replace
 from typing import Any
 
 from veritome.errors import INVALID, EvidenceError, invalid, limit_exceeded
-from veritome.requests import MAX_PATH_BYTES, Config, Fields, array, boolean, positive, relation_kind, simple_name, size, string, tag, text, uint, uuid, vector
+from veritome.requests import MAX_PATH_BYTES, Check, Config, array, at_most, boolean, listed, must, positive, relation_kind, shape, string, tag, text, uint, uuid, vector
 
 # Plan limits and names.
 DEFAULT_LIMIT = 10
@@ -20,14 +21,6 @@ BYTES_A_CHARACTER = 6
 STATUSES = ("current", "historical", "staged", "retired", "purged")
 SYNTAXES = ("websearch", "plain", "phrase")
 DIRECTIONS = ("out", "in", "both")
-NODE_FIELDS = {
-    "literal": ("id", "op", "text", "limit", "filter"),
-    "regex": ("id", "op", "pattern", "case_insensitive", "limit", "filter"),
-    "lexical": ("id", "op", "query", "syntax", "limit", "filter"),
-    "semantic": ("id", "op", "model", "vector", "limit", "filter"),
-    "neighbors": ("id", "op", "from", "direction", "kinds", "status", "limit", "max_edges"),
-    "union": ("id", "op", "inputs", "limit"),
-}
 
 
 @dataclass(frozen=True)
@@ -108,139 +101,108 @@ class Plan:
         object.__setattr__(self, "approximate", any(isinstance(n.op, Semantic) for n in self.nodes))
 
 
-def _pattern(value: Any, at: str) -> str:
-    if not 1 <= size(string(value, at)) <= MAX_PATTERN_BYTES:
-        raise invalid(at, f"{at} must be 1 to {MAX_PATTERN_BYTES} bytes")
-    return value
-
-
-def _many(check, most: int):
-    def run(value: Any, at: str) -> tuple:
-        if len(array(value, at)) > most:
-            raise invalid(at, f"{at} allows at most {most} items")
-        return tuple(check(x, f"{at}[{i}]") for i, x in enumerate(value))
-
-    return run
-
-
-def _one_of(options: tuple[str, ...]):
-    def check(value: Any, at: str) -> str:
-        if string(value, at) not in options:
-            raise invalid(at, f"{at} must be one of {', '.join(options)}")
+_FILTER = shape({
+    "path_prefix": (text(MAX_PATH_BYTES), None),
+    "tags_all": (listed(tag, 0, MAX_FILTER_TAGS), ()),
+    "tags_any": (listed(tag, 0, MAX_FILTER_TAGS), ()),
+    "asset_ids": (listed(uuid, 0, MAX_FILTER_ASSETS), ()),
+})
+_node_id = must(lambda v: isinstance(v, str) and re.fullmatch("[a-z][a-z0-9_]{0,31}", v) is not None, "a name: a-z, then up to 31 of a-z, 0-9 and _")
+_pattern = text(MAX_PATTERN_BYTES, controls=True)
+
+
+def _one_of(options: tuple[str, ...]) -> Check:
+    return must(lambda v: isinstance(v, str) and v in options, f"one of {', '.join(options)}")
+
+
+class _Reader:
+    """Reads the nodes of one plan; ``nodes`` are those read so far, by name."""
+
+    def __init__(self, config: Config) -> None:
+        self.config, self.nodes = config, {}
+        limits = config.limits
+        searched = {"filter": (_FILTER, None)}
+        self.tables = {
+            "literal": {"text": _pattern} | searched,
+            "regex": {"pattern": _pattern, "case_insensitive": (boolean, False)} | searched,
+            "lexical": {"query": _pattern, "syntax": (_one_of(SYNTAXES), "websearch")} | searched,
+            "semantic": {"model": must(lambda v: v == config.embedding_model, f'the collection\'s model "{config.embedding_model}"'), "vector": vector(config.embedding_dimensions or 0)} | searched,
+            "neighbors": {
+                "from": self._place, "direction": (_one_of(DIRECTIONS), "both"), "kinds": (listed(relation_kind, 0, MAX_FILTER_TAGS), ()),
+                "status": (listed(_one_of(STATUSES), 0, len(STATUSES)), ()), "max_edges": (positive, 0),
+            },
+            "union": {"inputs": listed(self._place, 2, MAX_UNION_INPUTS, repeats=False)},
+        }
+        common = {"op": string, "id": self._new_name, "limit": (at_most("max_candidates_per_operator", limits.max_candidates_per_operator, positive), None)}
+        self.shapes = {name: shape(common | table) for name, table in self.tables.items()}
+
+    def _new_name(self, value: Any, at: str) -> str:
+        if _node_id(value, at) in self.nodes:
+            raise invalid(at, f'{at}: "{value}" is taken')
         return value
 
-    return check
-
-
-def _filter(value: Any, at: str) -> Filter:
-    m = Fields(value, at, ("path_prefix", "tags_all", "tags_any", "asset_ids"))
-    return Filter(
-        m.get("path_prefix", text(MAX_PATH_BYTES)),
-        m.get("tags_all", _many(tag, MAX_FILTER_TAGS), ()),
-        m.get("tags_any", _many(tag, MAX_FILTER_TAGS), ()),
-        m.get("asset_ids", _many(uuid, MAX_FILTER_ASSETS), ()),
-    )
-
-
-def _node(value: Any, index: int, earlier: list[Node], config: Config) -> Node:
-    at = f"nodes[{index}]"
-    name = value.get("op") if isinstance(value, dict) else None
-    if not isinstance(name, str) or name not in NODE_FIELDS:
-        raise invalid(f"{at}.op", f"op must be one of {', '.join(NODE_FIELDS)}")
-    m = Fields(value, at, NODE_FIELDS[name])
-    node_id = m.need("id", string)
-    if not simple_name(node_id, 32):
-        raise invalid(f"{at}.id", "node id must match ^[a-z][a-z0-9_]{0,31}$")
-    if any(n.id == node_id for n in earlier):
-        raise invalid(f"{at}.id", f'duplicate node id "{node_id}"')
-    most = config.limits.max_candidates_per_operator
-    limit = m.get("limit", positive)
-    if limit is not None and limit > most:
-        raise limit_exceeded("max_candidates_per_operator", most, f"{at}.limit exceeds max_candidates_per_operator")
-
-    def earlier_node(value: Any, where: str) -> int:
-        found = [i for i, n in enumerate(earlier) if n.id == string(value, where)]
-        if not found:
-            raise invalid(where, f'{where} must name an earlier node, not "{value}"')
-        return found[0]
-
-    searched = lambda: m.get("filter", _filter, Filter())
-    op: Op
-    if name == "literal":
-        op = Literal(m.need("text", _pattern), searched())
-    elif name == "regex":
-        op = Regex(m.need("pattern", _pattern), m.get("case_insensitive", boolean, False), searched())
-    elif name == "lexical":
-        op = Lexical(m.need("query", _pattern), m.get("syntax", _one_of(SYNTAXES), "websearch"), searched())
-    elif name == "semantic":
-        if config.embedding_model is None:
-            raise EvidenceError(INVALID, "semantic_not_configured", "this collection has no embedding configuration", field=f"{at}.op")
-        if m.need("model", string) != config.embedding_model:
-            raise invalid(f"{at}.model", f'model must be the collection\'s embedding_model "{config.embedding_model}"')
-        op = Semantic(tuple(m.need("vector", vector(config.embedding_dimensions))), searched())
-    elif name == "neighbors":
-        op = Neighbors(
-            m.need("from", earlier_node), m.get("direction", _one_of(DIRECTIONS), "both"), m.get("kinds", _many(relation_kind, MAX_FILTER_TAGS), ()),
-            m.get("status", _many(_one_of(STATUSES), len(STATUSES)), ()), m.get("max_edges", positive, 0),
-        )
-    else:
-        items = m.need("inputs", array)
-        if not 2 <= len(items) <= MAX_UNION_INPUTS:
-            raise invalid(f"{at}.inputs", f"{at}.inputs must name 2 to {MAX_UNION_INPUTS} nodes")
-        inputs: list[int] = []
-        for i, item in enumerate(items):
-            n = earlier_node(item, f"{at}.inputs[{i}]")
-            if n in inputs:
-                raise invalid(f"{at}.inputs[{i}]", "union inputs must be distinct")
-            inputs.append(n)
-        op = Union(tuple(inputs))
-    if limit is None:
-        limit = min(sum(earlier[i].limit for i in op.inputs) if isinstance(op, Union) else DEFAULT_LIMIT, most)
-    return Node(node_id, op, limit)
-
-
-def _share_edges(nodes: list[Node], budget: int) -> list[Node]:
-    """Neighbors nodes without ``max_edges`` share what the others leave."""
-    hops = [n for n in nodes if isinstance(n.op, Neighbors)]
-    explicit = sum(n.op.max_edges for n in hops)
-    defaults = sum(n.op.max_edges == 0 for n in hops)
-    share = max(0, budget - explicit) // defaults if defaults else 0
-    if explicit > budget or (defaults and not share):
-        raise limit_exceeded("max_edges_returned", budget, "neighbors max_edges exceed max_edges_returned for the plan")
-    return [replace(n, op=replace(n.op, max_edges=share)) if isinstance(n.op, Neighbors) and not n.op.max_edges else n for n in nodes]
+    def _place(self, value: Any, at: str) -> int:
+        """The number of a node that came before."""
+        if string(value, at) not in self.nodes:
+            raise invalid(at, f'{at}: no node "{value}" comes before')
+        return list(self.nodes).index(value)
+
+    def __call__(self, value: Any, at: str) -> Node:
+        name = value.get("op") if isinstance(value, dict) else None
+        op = _one_of(tuple(self.shapes))(name, f"{at}.op")
+        if op == "semantic" and self.config.embedding_model is None:
+            raise EvidenceError(INVALID, "semantic_not_configured", "the collection stores no embeddings", field=f"{at}.op")
+        m = self.shapes[op](value, at)
+        most = self.config.limits.max_candidates_per_operator
+        usual, given = DEFAULT_LIMIT, vars(m)
+        if op == "neighbors":
+            made: Op = Neighbors(given["from"], m.direction, m.kinds, m.status, m.max_edges)
+        elif op == "union":
+            made, earlier = Union(m.inputs), list(self.nodes.values())
+            usual = sum(earlier[i].limit for i in m.inputs)
+        else:
+            kept = {k: given[k] for k in self.tables[op] if k not in ("model", "filter")}
+            made = {"literal": Literal, "regex": Regex, "lexical": Lexical, "semantic": Semantic}[op](**{k: tuple(v) if isinstance(v, list) else v for k, v in kept.items()}, filter=Filter(**vars(m.filter)) if m.filter else Filter())
+        self.nodes[m.id] = Node(m.id, made, m.limit or min(usual, most))
+        return self.nodes[m.id]
+
+
+def _with_edge_limits(nodes: tuple[Node, ...], budget: int) -> tuple[Node, ...]:
+    """Nodes with a ``max_edges`` each: those without one get equal parts of what the others leave of the budget."""
+    asked = {n.id: n.op.max_edges for n in nodes if isinstance(n.op, Neighbors)}
+    open_ = [k for k, edges in asked.items() if not edges]
+    left = budget - sum(asked.values())
+    if left < len(open_):
+        raise limit_exceeded("max_edges_returned", budget, f"all neighbors nodes of a plan together may return {budget} edges")
+    asked |= dict.fromkeys(open_, left // len(open_) if open_ else 0)
+    return tuple(replace(n, op=replace(n.op, max_edges=asked[n.id])) if n.id in asked else n for n in nodes)
 
 
 def parse_plan(value: Any, config: Config) -> Plan:
     """The checked plan; errors come in the order of the checks."""
-    limits = config.limits
-    m = Fields(value, "", ("nodes", "output", "excerpt_bytes", "max_response_bytes"))
-    items = m.need("nodes", array)
-    if not items:
-        raise invalid("nodes", "nodes must not be empty")
-    if len(items) > limits.max_plan_nodes:
-        raise limit_exceeded("max_plan_nodes", limits.max_plan_nodes, f"plan has {len(items)} nodes")
-    budget = m.get("max_response_bytes", positive, limits.max_response_bytes)
-    if budget > limits.max_response_bytes:
-        raise limit_exceeded("max_response_bytes", limits.max_response_bytes, "max_response_bytes exceeds the collection limit")
-    excerpt = m.get("excerpt_bytes", uint(2**32 - 1), min(DEFAULT_EXCERPT_BYTES, budget))
-    if excerpt > budget:
-        raise limit_exceeded("max_response_bytes", budget, "excerpt_bytes exceeds max_response_bytes")
-    nodes: list[Node] = []
-    for i, item in enumerate(items):
-        nodes.append(_node(item, i, nodes, config))
-    name = m.need("output", string)
-    found = [i for i, n in enumerate(nodes) if n.id == name]
-    if not found:
-        raise invalid("output", f'output names no node: "{name}"')
-    output = found[0]
+    limits, reader = config.limits, _Reader(config)
+
+    def some_nodes(value: Any, at: str) -> list:
+        if not 0 < len(array(value, at)) <= limits.max_plan_nodes:
+            raise limit_exceeded("max_plan_nodes", limits.max_plan_nodes, f"a plan may have {limits.max_plan_nodes} nodes") if value else invalid(at, f"{at}: expected a node")
+        return value
+
+    m = shape({
+        "nodes": some_nodes,
+        "max_response_bytes": (at_most("max_response_bytes", limits.max_response_bytes, positive), limits.max_response_bytes),
+        "excerpt_bytes": (uint(2**32 - 1), None), "output": (lambda value, at: value, None),
+    })(value)
+    budget = m.max_response_bytes
+    excerpt = min(DEFAULT_EXCERPT_BYTES, budget) if m.excerpt_bytes is None else at_most("max_response_bytes", budget, uint(2**32 - 1))(m.excerpt_bytes, "excerpt_bytes")
+    nodes = listed(reader, 1)(m.nodes, "nodes")
+    output = shape({"output": reader._place})({"output": m.output}).output
     need = BYTES_A_CHARACTER * nodes[output].limit * excerpt
     if need > MAX_EXCERPT_MATERIALIZATION:
-        raise limit_exceeded("max_excerpt_materialization_bytes", MAX_EXCERPT_MATERIALIZATION, f"6 x output limit x excerpt_bytes is {need} bytes; lower the output limit or excerpt_bytes")
-    used = {output}
-    for i in range(len(nodes) - 1, -1, -1):
-        if i in used:
-            used.update(nodes[i].inputs)
-    for i, n in enumerate(nodes):
-        if i not in used:
-            raise invalid(f"nodes[{i}]", f'node "{n.id}" does not feed the output')
-    return Plan(tuple(_share_edges(nodes, limits.max_edges_returned)), output, excerpt, budget)
+        raise limit_exceeded("max_excerpt_materialization_bytes", MAX_EXCERPT_MATERIALIZATION, f"an output of {nodes[output].limit} excerpts of {excerpt} bytes may need {need} bytes")
+    fed, reached = set(), {output}
+    while reached - fed:  # what the output is made of, step by step
+        fed |= reached
+        reached = {k for i in fed for k in nodes[i].inputs}
+    for i in sorted(set(range(len(nodes))) - fed):
+        raise invalid(f"nodes[{i}]", f'nodes[{i}]: the output does not use "{nodes[i].id}"')
+    return Plan(_with_edge_limits(nodes, limits.max_edges_returned), output, excerpt, budget)

@@ -1,6 +1,9 @@
-"""Request objects: field checks, limits and digests, without Spark.
+"""Request objects, without Spark: each is described by a table of its fields.
 
-A null field counts as absent; unknown fields are refused; lengths are UTF-8 bytes.
+``shape`` turns such a table into a check of a whole object, and ``must`` a test into
+a check of one value; a check takes a value and its place in the request and returns
+what it stands for.  A null field counts as absent; unknown fields are refused;
+lengths are UTF-8 bytes.
 """
 
 from __future__ import annotations
@@ -8,11 +11,14 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-import struct
 import unicodedata
-from dataclasses import dataclass, field, fields
+from collections.abc import Callable
+from dataclasses import asdict, dataclass, field
+from types import SimpleNamespace
 from typing import Any
 
+import numpy as np
+
 from veritome.errors import BAD_JSON, BAD_TEXT, INVALID, EvidenceError, invalid, limit_exceeded
 
 # Size limits.
@@ -30,7 +36,9 @@ MAX_DEPTH = 128
 RESERVED_NAMES = {"information_schema", "public", "evidence"}
 TEXT_SEARCH_CONFIGS = {"simple", "pg_catalog.simple"}
 
-_UUID = re.compile(r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}")
+Check = Callable[[Any, str], Any]
+#: In a table of fields: no value, no default.
+NEEDED = object()
 
 
 def decode(request: Any) -> Any:
@@ -39,18 +47,15 @@ def decode(request: Any) -> Any:
         try:
             request = json.loads(request)
         except (ValueError, RecursionError):
-            raise EvidenceError(BAD_JSON, "invalid_json", "the request is not valid JSON") from None
-    stack = [(request, 1)]
-    while stack:
-        value, depth = stack.pop()
+            raise EvidenceError(BAD_JSON, "invalid_json", "this is no JSON") from None
+    level, depth = [request], 0
+    while level:
+        depth += 1
         if depth > MAX_DEPTH:
-            raise invalid("request", f"the request nests more than {MAX_DEPTH} levels")
-        if isinstance(value, dict):
-            stack += [(x, depth + 1) for pair in value.items() for x in pair]
-        elif isinstance(value, list):
-            stack += [(x, depth + 1) for x in value]
-        elif isinstance(value, str) and "\0" in value:
-            raise EvidenceError(BAD_TEXT, "unsupported_character", "text cannot hold the character U+0000")
+            raise invalid("request", f"objects and arrays may nest {MAX_DEPTH} deep")
+        if any(isinstance(x, str) and "\0" in x for x in level):
+            raise EvidenceError(BAD_TEXT, "unsupported_character", "U+0000 cannot be stored")
+        level = [y for x in level if isinstance(x, (dict, list)) for y in ([*x.keys(), *x.values()] if isinstance(x, dict) else x)]
     return request
 
 
@@ -58,139 +63,122 @@ def size(text: str) -> int:
     return len(text.encode("utf-8", "surrogatepass"))
 
 
-def simple_name(text: str, most: int) -> bool:
-    return bool(re.fullmatch(rf"[a-z][a-z0-9_]{{0,{most - 1}}}", text))
+# ---- checks -------------------------------------------------------------------
 
 
-class Fields:
-    """Checked access to one JSON object; ``at`` is its place in the request."""
+def must(test: Callable[[Any], bool], wanted: str) -> Check:
+    def check(value: Any, at: str) -> Any:
+        if not test(value):
+            raise invalid(at, f"{at or 'request'}: expected {wanted}")
+        return value
 
-    def __init__(self, value: Any, at: str, allowed: tuple[str, ...] | list[str]) -> None:
-        if not isinstance(value, dict):
-            raise invalid(at or "request", f"{at or 'request'} must be an object")
-        for key in value:
-            if key not in allowed:
-                raise invalid(self._join(at, key), f"unknown field {self._join(at, key)}")
-        self.value, self.at = value, at
+    return check
 
-    @staticmethod
-    def _join(at: str, key: str) -> str:
-        return f"{at}.{key}" if at else key
 
-    def path(self, key: str) -> str:
-        return self._join(self.at, key)
+def shape(fields: dict[str, Check | tuple[Check, Any]]) -> Check:
+    """A check of an object by the checks of its fields, each alone (needed) or with a default, in the order of the table."""
+
+    def check(value: Any, at: str = "") -> SimpleNamespace:
+        given = _object(value, at)
+        place = {k: f"{at}.{k}" if at else k for k in [*given, *fields]}
+        for key in given.keys() - fields.keys():
+            raise invalid(place[key], f"{place[key]}: no such field")
+        out = {}
+        for key, entry in fields.items():
+            test, default = entry if isinstance(entry, tuple) else (entry, NEEDED)
+            if given.get(key) is not None:
+                out[key] = test(given[key], place[key])
+            elif default is NEEDED:
+                raise invalid(place[key], f"{place[key]}: missing")
+            else:
+                out[key] = default
+        return SimpleNamespace(**out)
 
-    def get(self, key: str, check=None, default=None):
-        """The checked value, or the default of an absent field."""
-        value = self.value.get(key)
-        if value is None:
-            return default
-        return check(value, self.path(key)) if check else value
+    return check
 
-    def need(self, key: str, check=None):
-        value = self.value.get(key)
-        if value is None:
-            raise invalid(self.path(key), f"{self.path(key)} is required")
-        return check(value, self.path(key)) if check else value
 
+def listed(item: Check, least: int = 0, most: int | None = None, repeats: bool = True) -> Check:
+    """A check of an array by that of its items; a tuple."""
 
-# ---- field checks: (value, path) -> value -----------------------------------
+    def check(value: Any, at: str) -> tuple:
+        items = array(value, at)
+        if len(items) < least or (most is not None and len(items) > most):
+            raise invalid(at, f"{at}: expected {least} to {most} items, not {len(items)}")
+        out: list = []
+        for i, one in enumerate(items):
+            read = item(one, f"{at}[{i}]")
+            if not repeats and read in out:
+                raise invalid(f"{at}[{i}]", f"{at}[{i}]: named before")
+            out.append(read)
+        return tuple(out)
 
+    return check
 
-def string(value: Any, at: str) -> str:
-    if not isinstance(value, str):
-        raise invalid(at, f"{at} must be a string")
-    if "\0" in value or any(0xD800 <= ord(c) <= 0xDFFF for c in value):
-        raise invalid(at, f"{at} holds a character that text cannot store")
-    return value
 
+def at_most(limit: str, most: int, check: Check) -> Check:
+    """``check``, and the named limit."""
 
-def boolean(value: Any, at: str) -> bool:
-    if not isinstance(value, bool):
-        raise invalid(at, f"{at} must be true or false")
-    return value
+    def bounded(value: Any, at: str) -> int:
+        if check(value, at) > most:
+            raise limit_exceeded(limit, most, f"{at}: {limit} is {most}")
+        return value
 
+    return bounded
 
-def array(value: Any, at: str) -> list:
-    if not isinstance(value, list):
-        raise invalid(at, f"{at} must be an array")
-    return value
 
+def _storable(value: Any) -> bool:
+    return isinstance(value, str) and not re.search("[\0\ud800-\udfff]", value)
 
-def uint(most: int):
-    def check(value: Any, at: str) -> int:
-        if isinstance(value, bool) or not isinstance(value, int) or not 0 <= value <= most:
-            raise invalid(at, f"{at} must be an integer from 0 to {most}")
-        return value
 
-    return check
+def _matching(pattern: str, wanted: str) -> Check:
+    return must(lambda v: _storable(v) and re.fullmatch(pattern, v) is not None, wanted)
 
 
-def positive(value: Any, at: str) -> int:
-    if uint(2**32 - 1)(value, at) == 0:
-        raise invalid(at, f"{at} must be at least 1")
-    return value
+_object = must(lambda v: isinstance(v, dict), "an object")
+string = must(_storable, "text without U+0000 and lone surrogates")
+boolean = must(lambda v: isinstance(v, bool), "true or false")
+array = must(lambda v: isinstance(v, list), "an array")
+positive = must(lambda v: type(v) is int and 1 <= v < 2**32, "an integer from 1 to 4294967295")
+digest = _matching("[0-9a-f]{64}", "64 digits of lowercase hexadecimal")
+relation_kind = _matching("[a-z][a-z0-9_]{0,62}", "a name: a-z, then up to 62 of a-z, 0-9 and _")
 
 
-def text(most: int):
-    def check(value: Any, at: str) -> str:
-        s = string(value, at)
-        if not 1 <= size(s) <= most or any(unicodedata.category(c) == "Cc" for c in s):
-            raise invalid(at, f"{at} must be 1 to {most} bytes without control characters")
-        return s
+def uint(most: int) -> Check:
+    return must(lambda v: type(v) is int and 0 <= v <= most, f"an integer from 0 to {most}")
 
-    return check
+
+def text(most: int, controls: bool = False) -> Check:
+    fits = lambda v: _storable(v) and 1 <= size(v) <= most and (controls or "Cc" not in map(unicodedata.category, v))
+    return must(fits, f"text of 1 to {most} bytes" + ("" if controls else " without control characters"))
 
 
 tag = text(MAX_TAG_BYTES)
+_uuid = _matching("(?i)[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}", "a UUID with hyphens")
 
 
 def uuid(value: Any, at: str) -> str:
-    if not _UUID.fullmatch(string(value, at)):
-        raise invalid(at, f"{at} must be a hyphenated UUID")
-    return value.lower()
-
-
-def digest(value: Any, at: str) -> str:
-    if not re.fullmatch("[0-9a-f]{64}", string(value, at)):
-        raise invalid(at, f"{at} must be 64 lowercase hexadecimal digits")
-    return value
-
+    return _uuid(value, at).lower()
 
-def relation_kind(value: Any, at: str) -> str:
-    if not simple_name(string(value, at), 63):
-        raise invalid(at, f"{at} must match ^[a-z][a-z0-9_]{{0,62}}$")
-    return value
 
+def vector(dimensions: int) -> Check:
+    """A check of numbers that are finite as 4-byte floats and not all zero."""
 
-def vector(dimensions: int):
     def check(value: Any, at: str) -> list[float]:
-        items = array(value, at)
-        if len(items) != dimensions:
-            raise invalid(at, f"{at} must have {dimensions} dimensions, got {len(items)}")
-        out = []
-        for x in items:
-            if isinstance(x, bool) or not isinstance(x, (int, float)):
-                raise invalid(at, f"{at} must contain only numbers")
-            try:
-                single = struct.unpack("f", struct.pack("f", float(x)))[0]
-            except OverflowError:
-                single = float("inf")
-            if single != single or abs(single) == float("inf"):
-                raise invalid(at, f"{at} contains a value that is not a finite 4-byte float")
-            out.append(single)
-        if not any(out):
-            raise invalid(at, f"{at} has zero norm")
-        return out
+        numeric = all(type(x) in (int, float) for x in array(value, at))
+        if not numeric or len(value) != dimensions:
+            raise invalid(at, f"{at}: expected {dimensions} numbers")
+        with np.errstate(over="ignore"):
+            singles = np.array([x if abs(x) < 1e300 else np.inf for x in value], np.float64).astype(np.float32)
+        if not np.isfinite(singles).all() or not singles.any():
+            raise invalid(at, f"{at}: expected finite 4-byte floats, one of them not zero")
+        return singles.astype(float).tolist()
 
     return check
 
 
 def corpus_name(name: str) -> str:
-    if not simple_name(name, 48):
-        raise invalid("corpus", "corpus name must match ^[a-z][a-z0-9_]{0,47}$")
-    if name.startswith("pg_") or name in RESERVED_NAMES:
-        raise invalid("corpus", f'corpus name "{name}" is reserved')
+    if not re.fullmatch("[a-z][a-z0-9_]{0,47}", name) or name.startswith("pg_") or name in RESERVED_NAMES:
+        raise invalid("corpus", f'"{name}" cannot name a corpus: a-z, then up to 47 of a-z, 0-9 and _, and not a reserved name')
     return name
 
 
@@ -217,34 +205,28 @@ class Config:
     limits: Limits = field(default_factory=Limits)
 
 
+_LIMITS = shape({name: (at_most(name, most, positive), getattr(Limits, name)) for name, most in asdict(CEILING).items()})
+_CONFIG = shape({
+    "embedding_model": (text(MAX_MODEL_BYTES), None),
+    "embedding_dimensions": (must(lambda v: type(v) is int and 1 <= v <= MAX_DIMENSIONS, f"an integer from 1 to {MAX_DIMENSIONS}"), None),
+    "text_search_config": (must(lambda v: v in TEXT_SEARCH_CONFIGS, " or ".join(sorted(TEXT_SEARCH_CONFIGS))), "simple"),
+    "limits": (_LIMITS, None),
+})
+
+
 def parse_config(value: Any) -> Config:
-    m = Fields(value, "config", ("embedding_model", "embedding_dimensions", "text_search_config", "limits"))
-    model = m.get("embedding_model", text(MAX_MODEL_BYTES))
-    dims = m.get("embedding_dimensions", uint(MAX_DIMENSIONS))
-    if (model is None) != (dims is None) or dims == 0:
-        raise invalid("config.embedding_dimensions", f"embedding_model and embedding_dimensions (1 to {MAX_DIMENSIONS}) come together")
-    search = m.get("text_search_config", text(MAX_MODEL_BYTES), "simple")
-    if search not in TEXT_SEARCH_CONFIGS:
-        raise invalid("config.text_search_config", f'unknown text search configuration "{search}"')
-    names = [f.name for f in fields(Limits)]
-    given = m.get("limits")
-    chosen = {}
-    if given is not None:
-        lm = Fields(given, "config.limits", names)
-        for name in names:
-            value = lm.get(name, positive)
-            if value is not None:
-                if value > getattr(CEILING, name):
-                    raise limit_exceeded(name, getattr(CEILING, name), f"{name} may be at most {getattr(CEILING, name)}")
-                chosen[name] = value
-    return Config(model, dims, "pg_catalog.simple", Limits(**chosen))
+    m = _CONFIG(value, "config")
+    if (m.embedding_model is None) != (m.embedding_dimensions is None):
+        raise invalid("config.embedding_dimensions", "a model and its dimensions are given together")
+    return Config(m.embedding_model, m.embedding_dimensions, limits=Limits(**vars(m.limits)) if m.limits else Limits())
 
 
 # ---- mutations --------------------------------------------------------------
 
 
 def utf8_boundary(raw: bytes, at: int) -> bool:
-    return at == len(raw) or raw[at] & 0xC0 != 0x80
+    """Whether no character spreads over this place."""
+    return not 0x80 <= int.from_bytes(raw[at : at + 1]) < 0xC0
 
 
 @dataclass(frozen=True)
@@ -263,74 +245,101 @@ class Stage:
         return hashlib.sha256(json.dumps(body, ensure_ascii=False, separators=(",", ":")).encode()).hexdigest()
 
 
-def parse_stage(value: Any, max_source_bytes: int) -> Stage:
-    m = Fields(value, "", ("asset_id", "path", "source", "source_sha256", "spans", "ingestion_key", "expected_revision"))
-    asset_id, path = m.need("asset_id", uuid), m.need("path", text(MAX_PATH_BYTES))
-    key, expected = m.need("ingestion_key", text(MAX_KEY_BYTES)), m.need("expected_revision", uint(INT8))
-    source = m.need("source", string)
-    raw = source.encode()
-    if len(raw) > max_source_bytes:
-        raise limit_exceeded("max_source_bytes", max_source_bytes, f"source is {len(raw)} bytes; the collection allows {max_source_bytes}")
-    given, computed = m.need("source_sha256", digest), hashlib.sha256(raw).hexdigest()
-    if given != computed:
-        raise EvidenceError(INVALID, "source_sha256_mismatch", "source_sha256 does not match the source", field="source_sha256", computed=computed)
-    items = m.need("spans", array)
-    if len(items) > MAX_SPANS:
-        raise limit_exceeded("max_spans_per_version", MAX_SPANS, f"at most {MAX_SPANS} spans per version")
-    spans: dict[tuple[int, int], None] = {}
-    total, most = 0, SPAN_BYTES_FACTOR * max_source_bytes
+_SPAN = shape({"start_byte": uint(INT4), "end_byte": uint(INT4)})
+_STAGE = {"asset_id": uuid, "path": text(MAX_PATH_BYTES), "ingestion_key": text(MAX_KEY_BYTES), "expected_revision": uint(INT8)}
+
+
+def span_table(items: list, raw: bytes, most: int) -> tuple[tuple[int, int], ...]:
+    """The spans of a source as pairs; the first one that breaks a rule is refused, by the first rule it breaks."""
+    read, unreadable = [], None
     for i, item in enumerate(items):
-        at = f"spans[{i}]"
-        sm = Fields(item, at, ("start_byte", "end_byte"))
-        start, end = sm.need("start_byte", uint(INT4)), sm.need("end_byte", uint(INT4))
-        if not start < end <= len(raw):
-            raise invalid(at, f"{at} must satisfy start_byte < end_byte <= {len(raw)}")
-        if not (utf8_boundary(raw, start) and utf8_boundary(raw, end)):
-            raise invalid(at, f"{at} does not fall on UTF-8 character boundaries")
-        if (start, end) in spans:
-            raise invalid(at, f"{at} duplicates an earlier span")
-        total += end - start
-        if total > most:
-            raise limit_exceeded("max_span_bytes_total", most, f"spans copy more than {SPAN_BYTES_FACTOR} x max_source_bytes")
-        spans[start, end] = None
-    return Stage(asset_id, path, source, given, tuple(spans), key, expected)
+        try:
+            read.append(_SPAN(item, f"spans[{i}]"))
+        except EvidenceError as error:  # an earlier span may break a rule
+            unreadable = error
+            break
+    start, end = (np.array([getattr(s, k) for s in read], np.int64) for k in ("start_byte", "end_byte"))
+    inside = (start < end) & (end <= len(raw))
+    mid_character = np.zeros(len(raw) + 1, bool)
+    mid_character[:-1] = np.frombuffer(raw, np.int8) < -64  # 10xxxxxx
+    torn = np.zeros(len(read), bool)
+    torn[inside] = mid_character[start[inside]] | mid_character[end[inside]]
+    _, first = np.unique(start * (INT4 + 1) + end, return_index=True)
+    repeated = np.ones(len(read), bool)
+    repeated[first] = False
+    heavy = np.cumsum(end - start) > most
+    for i in np.flatnonzero(~inside | torn | repeated | heavy)[:1].tolist():
+        if not inside[i] or torn[i] or repeated[i]:
+            why = f"not within 0 to {len(raw)}" if not inside[i] else "cuts a character" if torn[i] else "given before"
+            raise invalid(f"spans[{i}]", f"spans[{i}]: {why}")
+        raise limit_exceeded("max_span_bytes_total", most, f"the spans together may hold {most} bytes")
+    if unreadable:
+        raise unreadable
+    return tuple(zip(start.tolist(), end.tolist()))
+
+
+def parse_stage(value: Any, max_source_bytes: int) -> Stage:
+    raw = b""
+
+    def source(value: Any, at: str) -> str:
+        nonlocal raw
+        raw = string(value, at).encode()
+        if len(raw) > max_source_bytes:
+            raise limit_exceeded("max_source_bytes", max_source_bytes, f"the source has {len(raw)} bytes, the collection takes {max_source_bytes}")
+        return value
+
+    def source_sha256(value: Any, at: str) -> str:
+        if digest(value, at) != (computed := hashlib.sha256(raw).hexdigest()):
+            raise EvidenceError(INVALID, "source_sha256_mismatch", "this is not the digest of the source", field=at, computed=computed)
+        return value
+
+    def spans(value: Any, at: str) -> tuple:
+        if len(array(value, at)) > MAX_SPANS:
+            raise limit_exceeded("max_spans_per_version", MAX_SPANS, f"a version has at most {MAX_SPANS} spans")
+        return span_table(value, raw, SPAN_BYTES_FACTOR * max_source_bytes)
+
+    return Stage(**vars(shape(_STAGE | {"source": source, "source_sha256": source_sha256, "spans": spans})(value)))
 
 
 def parse_attach(value: Any, model: str, dimensions: int) -> tuple[str, list[tuple[str, list[float]]]]:
-    m = Fields(value, "", ("version_id", "model", "embeddings"))
-    version_id = m.need("version_id", uuid)
-    if m.need("model", string) != model:
-        raise invalid("model", f'model must be the collection\'s embedding_model "{model}"')
-    items = m.need("embeddings", array)
-    if not items:
-        raise invalid("embeddings", "embeddings must not be empty")
-    if len(items) > MAX_SPANS:
-        raise limit_exceeded("max_spans_per_version", MAX_SPANS, "too many embeddings")
-    if len(items) * dimensions > MAX_EMBEDDING_VALUES:
-        raise limit_exceeded("max_embedding_values_per_call", MAX_EMBEDDING_VALUES, "split the embeddings across several calls")
-    out: dict[str, list[float]] = {}
-    for i, item in enumerate(items):
-        at = f"embeddings[{i}]"
-        im = Fields(item, at, ("evidence_id", "vector"))
-        evidence_id = im.need("evidence_id", uuid)
-        if evidence_id in out:
-            raise invalid(at, f"{at} repeats evidence_id {evidence_id}")
-        out[evidence_id] = im.need("vector", vector(dimensions))
-    return version_id, list(out.items())
+    pair = shape({"evidence_id": uuid, "vector": vector(dimensions)})
+
+    def embeddings(value: Any, at: str) -> dict[str, list[float]]:
+        n = len(array(value, at))
+        for limit, most, have in (("max_spans_per_version", MAX_SPANS, n), ("max_embedding_values_per_call", MAX_EMBEDDING_VALUES, n * dimensions)):
+            if have > most:
+                raise limit_exceeded(limit, most, f"{at}: {limit} is {most}; use several calls")
+        out: dict[str, list[float]] = {}
+        for i, read in enumerate(listed(pair, 1)(value, at)):
+            if out.setdefault(read.evidence_id, read.vector) is not read.vector:
+                raise invalid(f"{at}[{i}]", f"{at}[{i}]: its evidence_id came before")
+        return out
+
+    m = shape({"version_id": uuid, "model": must(lambda v: v == model, f'the collection\'s model "{model}"'), "embeddings": embeddings})(value)
+    return m.version_id, list(m.embeddings.items())
+
+
+_PUBLISH = shape({"version_id": uuid})
+_RETIRE = shape({"asset_id": uuid, "expected_revision": uint(INT8)})
+_PURGE = shape({"version_id": uuid, "reason": text(MAX_REASON_BYTES)})
+_TAGGING = shape({"action": string, "asset_id": uuid, "expected_annotation_revision": uint(INT8), "tags": listed(tag, 1, MAX_TAGS, repeats=False)})
+_LINKING = shape({"action": string, "source_evidence_id": uuid, "target_evidence_id": uuid, "kind": relation_kind})
+#: The shape of each action, and whether it adds.
+ACTIONS = {"tag": (_TAGGING, True), "untag": (_TAGGING, False), "link": (_LINKING, True), "unlink": (_LINKING, False)}
 
 
 def parse_publish(value: Any) -> str:
-    return Fields(value, "", ("version_id",)).need("version_id", uuid)
+    return _PUBLISH(value).version_id
 
 
 def parse_retire(value: Any) -> tuple[str, int]:
-    m = Fields(value, "", ("asset_id", "expected_revision"))
-    return m.need("asset_id", uuid), m.need("expected_revision", uint(INT8))
+    m = _RETIRE(value)
+    return m.asset_id, m.expected_revision
 
 
 def parse_purge(value: Any) -> tuple[str, str]:
-    m = Fields(value, "", ("version_id", "reason"))
-    return m.need("version_id", uuid), m.need("reason", text(MAX_REASON_BYTES))
+    m = _PURGE(value)
+    return m.version_id, m.reason
 
 
 @dataclass(frozen=True)
@@ -351,23 +360,12 @@ class LinkChange:
 
 def parse_annotate(value: Any) -> TagChange | LinkChange:
     action = value.get("action") if isinstance(value, dict) else None
-    if action in ("tag", "untag"):
-        m = Fields(value, "", ("action", "asset_id", "tags", "expected_annotation_revision"))
-        asset_id, expected = m.need("asset_id", uuid), m.need("expected_annotation_revision", uint(INT8))
-        items = m.need("tags", array)
-        if not 1 <= len(items) <= MAX_TAGS:
-            raise invalid("tags", f"tags must contain 1 to {MAX_TAGS} tags")
-        tags: dict[str, None] = {}
-        for i, item in enumerate(items):
-            if tag(item, f"tags[{i}]") in tags:
-                raise invalid(f"tags[{i}]", "tags must not repeat")
-            tags[item] = None
-        return TagChange(action == "tag", asset_id, tuple(tags), expected)
-    if action in ("link", "unlink"):
-        m = Fields(value, "", ("action", "source_evidence_id", "target_evidence_id", "kind"))
-        source, target = m.need("source_evidence_id", uuid), m.need("target_evidence_id", uuid)
-        kind = m.need("kind", relation_kind)
-        if source == target:
-            raise invalid("target_evidence_id", "a relation cannot link evidence to itself")
-        return LinkChange(action == "link", source, target, kind)
-    raise invalid("action", "action must be one of tag, untag, link, unlink")
+    if not isinstance(action, str) or action not in ACTIONS:
+        raise invalid("action", f"action: expected one of {', '.join(ACTIONS)}")
+    read, adds = ACTIONS[action]
+    m = read(value)
+    if read is _TAGGING:
+        return TagChange(adds, m.asset_id, m.tags, m.expected_annotation_revision)
+    if m.source_evidence_id == m.target_evidence_id:
+        raise invalid("target_evidence_id", "target_evidence_id: expected other evidence than the source's")
+    return LinkChange(adds, m.source_evidence_id, m.target_evidence_id, m.kind)
