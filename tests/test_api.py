@@ -229,15 +229,62 @@ def test_copy_of_a_corpus_answers_alike(spark, store, tmp_path):
     assert store.query("docs", q) == store.query("copy", q)
 
 
+def test_sets_of_changes(spark, tmp_path):
+    e = Evidence(spark, str(tmp_path))
+    e.init_collection("sets", {"embedding_model": "m", "embedding_dimensions": 2})
+    frame = lambda schema, *rows: spark.createDataFrame(list(rows), schema)
+    told = lambda df: {r[0]: r.problem for r in df.collect()}
+    docs = frame("asset_id string, path string, source string, ingestion_key string, expected_revision long", (A, "p", "é b", "k1", 0), (B, "p", "c", "k2", 0), (A, "q", "d", "k3", 1), (B, "r", "e", "k4", 3), (None, "r", "e", None, 0), (None, "r", "e", None, 0))
+    spans = frame("ingestion_key string, start_byte int, end_byte int", ("k1", 0, 2), ("k1", 0, 4), ("k2", 0, 1), ("k3", 0, 9), ("k4", 0, 1))
+    staged = batch.stage(e, "sets", docs, spans)
+    assert told(staged) == {"k1": None, "k2": None, "k3": "spans", "k4": "revision_conflict", None: "missing_field"}
+    single = json.loads(e.stage_version("sets", request("é b", [(0, 2), (0, 4)], path="p")))
+    assert single["replayed"] and told(batch.stage(e, "sets", docs.limit(1), spans)) == {"k1": None}  # one digest for both ways
+    v1, v2 = (next(r.version_id for r in staged.collect() if r.ingestion_key == k) for k in ("k1", "k2"))
+    ids = {(r["version_id"], r["end_byte"]): r["evidence_id"] for r in e._store("sets").snapshot().rows("spans", F.lit(True))}
+    both = frame("version_id string", (v1,), (v2,), (A,))
+    assert told(batch.publish(e, "sets", both)) == {v1: "embeddings_missing", v2: "embeddings_missing", A: "unknown_version"}
+    vectors = lambda *rows: batch.attach(e, "sets", frame("evidence_id string, embedding array<float>", *rows))
+    a, b, c = ids[v1, 2], ids[v1, 4], ids[v2, 1]
+    assert told(vectors((a, [1.0, 0.0]), (b, [0.0, 0.0]), (c, [1.0]), (A, [1.0, 0.0]))) == {a: None, b: "embedding", c: "dimensions", A: "unknown_evidence"}
+    assert told(vectors((a, [1.0, 0.0]), (b, [0.0, 1.0]), (c, [0.0, 1.0]))) == {a: None, b: None, c: None} and told(vectors((a, [2.0, 0.0]))) == {a: "embedding_conflict"}
+    assert told(batch.publish(e, "sets", both.limit(2))) == {v1: None, v2: "path_in_use"} and told(batch.publish(e, "sets", both.limit(1))) == {v1: None}
+    assert told(vectors((a, [1.0, 0.0]))) == {a: None} and texts(ask(e, {"id": "a", "op": "literal", "text": "b"}, corpus="sets")) == ["é b"]
+    tags = frame("asset_id string, tag string", (A, "x"), (A, "y"), (A, "x"), (str(uuid.uuid4()), "x"), (B, ""))
+    assert sorted(str(r.problem) for r in batch.tag(e, "sets", tags).collect()) == ["None", "None", "tag", "unknown_asset"]
+    assert json.loads(e.annotate("sets", {"action": "untag", "asset_id": A, "tags": ["y"], "expected_annotation_revision": 1}))["removed"] == ["y"]
+    batch.tag(e, "sets", tags.limit(1), add=False)
+    assert e._store("sets").snapshot().rows("tags", F.lit(True)) == []
+    links = frame("source_evidence_id string, kind string, target_evidence_id string", (a, "k", c), (a, "K", c), (a, "k", a), (a, "k", A))
+    assert sorted(str(r.problem) for r in batch.link(e, "sets", links).collect()) == ["None", "kind", "target_evidence_id", "unknown_evidence"]
+    assert json.loads(e.annotate("sets", {"action": "link", "source_evidence_id": a, "target_evidence_id": c, "kind": "k"}))["status"] == "existing"
+    batch.link(e, "sets", links.limit(1), add=False)
+    assert e._store("sets").snapshot().rows("relations", F.lit(True)) == []
+    gone = frame("version_id string, reason string", (v1, "r"), (v2, "r"), (B, "r"))
+    assert told(batch.purge(e, "sets", gone)) == {v1: "version_current", v2: None, B: "unknown_version"}
+    assets = frame("asset_id string, expected_revision long", (A, 1), (B, 7), (str(uuid.UUID(int=1)), 0))
+    assert sorted(map(str, told(batch.retire(e, "sets", assets)).values())) == ["None", "revision_conflict", "unknown_asset"]
+    assert told(batch.purge(e, "sets", gone)) == {v1: None, v2: None, B: "unknown_version"} and told(vectors((a, [1.0, 0.0]))) == {a: "version_purged"}
+    assert json.loads(e.resolve("sets", a))["status"] == "purged" and e._store("sets").snapshot().rows("embeddings", F.lit(True)) == []
+    before = {t: e._store("sets").snapshot().table(t).count() for t in TABLES}
+    e._store("sets").compact(1)
+    e.vacuum("sets")
+    after = e._store("sets").snapshot()
+    assert {t: after.table(t).count() for t in TABLES} == before and all(len(p) <= 1 for p in after.manifest["tables"].values())
+
+
 def test_files_batches_and_streams(spark, store, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()
     (folder / "a.txt").write_text("alpha\nbeta\n")
     (folder / "b.bin").write_bytes(b"\xff\xfe")
-    assert import_files(store, "docs", str(folder)) == {"imported": ["a.txt"], "unchanged": [], "skipped": ["b.bin"]}
-    assert import_files(store, "docs", str(folder))["unchanged"] == ["a.txt"]
+    outcome = lambda: dict(map(tuple, import_files(store, "docs", str(folder)).collect()))
+    assert outcome() == {"a.txt": "imported", "b.bin": "skipped"}
+    (folder / "deep").mkdir()
+    (folder / "deep" / "c.txt").write_text("x\r\ny")
+    assert outcome() == {"a.txt": "unchanged", "b.bin": "skipped", "deep/c.txt": "imported"}
     (folder / "a.txt").write_text("gamma\n")
-    assert import_files(store, "docs", str(folder))["imported"] == ["a.txt"]
+    assert outcome()["a.txt"] == "imported"
     assert texts(ask(store, {"id": "a", "op": "literal", "text": "a"})) == ["gamma\n"]
     rows = [(A, "x/1", "one\ntwo\n", "d1"), (B, "x/2", "zwei", "d2"), ("bad", "x/3", "s", "d3"), (str(uuid.uuid4()), "x/1", "s", "d4"), (str(uuid.uuid4()), "x/5", None, "d5")]
     docs = spark.createDataFrame(rows, "asset_id string, path string, source string, ingestion_key string")

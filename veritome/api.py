@@ -134,8 +134,8 @@ class Evidence:
             }])
             texts = [raw[a:b].decode() for a, b in req.spans]
             c.append("spans", [
-                {"evidence_id": i, "version_id": version_id, "start_byte": a, "end_byte": b, "text": t, "tokens": fulltext.split_tokens(t)} for i, (a, b), t in zip(ids, req.spans, texts)
-            ])
+                {"evidence_id": i, "version_id": version_id, "start_byte": a, "end_byte": b, "text": t} for i, (a, b), t in zip(ids, req.spans, texts)
+            ], tokens=fulltext.tokens(F.col("text")))
             return self._staged(req, False, version_id, ids)
 
         return self._mutate(corpus, body)

@@ -2,49 +2,32 @@
 
 from __future__ import annotations
 
-import hashlib
-import json
-import uuid
-
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veritome.api import Evidence
-from veritome.sources.chunk import chunk_spans
-
-NAMESPACE = uuid.uuid5(uuid.NAMESPACE_URL, "veritome:files")
+from veritome.functions import utf8
+from veritome.sources import batch
 
 
-def import_files(evidence: Evidence, corpus: str, folder: str, span_bytes: int = 4096) -> dict[str, list[str]]:
-    """Stages and publishes every file that is new or changed; lists paths by outcome.
+def import_files(evidence: Evidence, corpus: str, folder: str, span_bytes: int = 4096) -> DataFrame:
+    """Stages and publishes all files that are new or changed, in one load; (path, outcome).
 
-    Files that are too large, hold a NUL or are no UTF-8 are skipped.  An asset's
-    id follows from its path, its key from its digest and revision, so a second
-    run over the same files changes nothing.
+    The outcome is ``imported``, ``unchanged``, ``skipped`` (too large, with a NUL, or no
+    UTF-8) or the reason of a refusal.  An asset's id follows from its path, its key
+    from its digest and revision, so a second run over the same files changes nothing.
     """
     s = evidence._store(corpus).snapshot()
     most = evidence._config(s).limits.max_source_bytes
     root = folder.rstrip("/")
     files = evidence.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     text = F.when((F.col("length") <= most) & F.expr("is_valid_utf8(content)"), F.decode("content", "UTF-8"))
-    out: dict[str, list[str]] = {"imported": [], "unchanged": [], "skipped": []}
-    for row in files.select("path", text.alias("text")).orderBy("path").toLocalIterator():
-        path = row.path.split(f"{root}/", 1)[-1]
-        if row.text is None or "\0" in row.text:
-            out["skipped"].append(path)
-            continue
-        raw, asset_id = row.text.encode(), str(uuid.uuid5(NAMESPACE, path))
-        digest = hashlib.sha256(raw).hexdigest()
-        now = evidence._store(corpus).snapshot()
-        asset = now.rows("assets", F.col("asset_id") == asset_id)
-        revision = asset[0]["content_revision"] if asset else 0
-        current = asset[0]["current_version_id"] if asset else None
-        if current and now.rows("versions", F.col("version_id") == current, "source_sha256")[0]["source_sha256"] == digest:
-            out["unchanged"].append(path)
-            continue
-        spans = [{"start_byte": a, "end_byte": b} for a, b in chunk_spans(raw, span_bytes)]
-        staged = json.loads(evidence.stage_version(corpus, {
-            "asset_id": asset_id, "path": path, "source": row.text, "source_sha256": digest, "spans": spans, "ingestion_key": f"{asset_id}@{digest}@{revision}", "expected_revision": revision,
-        }))
-        evidence.publish_version(corpus, {"version_id": staged["version_id"]})
-        out["imported"].append(path)
-    return out
+    current = s.table("assets").join(s.table("versions").select(F.col("version_id").alias("current_version_id"), "source_sha256"), "current_version_id", "left")
+    rows = files.select(F.element_at(F.split("path", f"\\Q{root}/\\E", 2), -1).alias("path"), text.alias("source"))
+    rows = rows.withColumn("asset_id", batch._id("file", "path")).join(current.select("asset_id", "content_revision", F.col("source_sha256").alias("before")), "asset_id", "left")
+    digest, revision = utf8.sha256_hex(F.col("source")), F.coalesce("content_revision", F.lit(0).cast("long"))
+    rows = rows.withColumn("outcome", F.when(F.col("source").isNull() | (F.instr("source", "\0") > 0), "skipped").when(F.col("before") == digest, "unchanged"))
+    rows = rows.withColumn("ingestion_key", F.concat_ws("@", "asset_id", digest, revision.cast("string"))).withColumn("expected_revision", revision)
+    loaded = batch.load(evidence, corpus, rows.where("outcome is null"), span_bytes)
+    named = rows.select("path", "outcome", "ingestion_key").join(loaded.select("ingestion_key", "problem"), "ingestion_key", "left")
+    return named.select("path", F.coalesce("outcome", "problem", F.lit("imported")).alias("outcome"))
