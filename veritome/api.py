@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from veritome.errors import CANCELLED, FORBIDDEN, INVALID, EvidenceError, invalid, precondition, revision_conflict, unique, unknown
 from veritome.functions import fulltext
-from veritome.operators.tables import version_status
+from veritome.operators.tables import Tables, version_status
 from veritome.plans.compile import compile_plan
 from veritome.plans.plan import parse_plan
 from veritome.render import fit, render_query, render_resolve
@@ -296,6 +296,18 @@ class Evidence:
         self._may("reader")
         return self._mutate(corpus, body)
 
+    def exists(self, corpus: str) -> bool:
+        return self._store(corpus).exists()
+
+    def rename(self, corpus: str, name: str) -> None:
+        """Gives a corpus another name."""
+        self._may("writer")
+        self._store(corpus).rename(corpus_name(name))
+
+    def tables(self, corpus: str) -> Tables:
+        """All tables of the newest commit."""
+        return self._store(corpus).snapshot().tables()
+
     def vacuum(self, corpus: str) -> int:
         self._may("purger")
         return self._store(corpus).vacuum()
@@ -310,13 +322,10 @@ class Evidence:
             raise precondition("statement_timeout_unset", "a query needs a timeout above zero")
         plan = parse_plan(decode(request), config)
         with _Deadline(self.spark, self.timeout):
-            compiled = compile_plan(plan, s.tables()).persist()
-            try:
-                results = [r.asDict() for r in compiled.results().collect()]
-                edges = [r.asDict() for r in compiled.edge_rows().orderBy("node", "edge_rn").collect()]
-                stats = [r.asDict() for r in compiled.stats().orderBy("node").collect()]
-            finally:
-                compiled.unpersist()
+            compiled = compile_plan(plan, s.tables())
+            results = [r.asDict() for r in compiled.results().collect()]
+            edges = [r.asDict() for r in compiled.edge_rows().orderBy("node", "edge_rn").collect()]
+            stats = [r.asDict() for r in compiled.stats().orderBy("node").collect()]
         return render_query(plan, results, edges, stats, "ready" if config.embedding_model else "not_configured")
 
     def resolve(self, corpus: str, evidence_id: Any) -> str:

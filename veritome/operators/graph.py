@@ -28,7 +28,8 @@ def edges(t: Tables, seeds: DataFrame, seed_limit: int, op: Neighbors) -> DataFr
     found = sides[0] if len(sides) == 1 else sides[0].unionByName(sides[1])
     if op.statuses:
         fitting = version_status(t).where(F.col("status").isin(list(op.statuses))).select("version_id")
-        ends = t.spans.select(F.col("evidence_id").alias("to_id"), "version_id").join(fitting, "version_id", "left_semi")
+        # All edges of the seeds, before any limit: as many as the relations hold, so nothing is broadcast here.
+        ends = t.spans.select(F.col("evidence_id").alias("to_id"), "version_id").join(found.select("to_id"), "to_id", "left_semi").join(fitting, "version_id", "left_semi")
         found = found.join(ends.select("to_id"), "to_id", "left_semi")
     order = [F.col(c) for c in ("from_rn", "kind", "to_id", "dir")]
     return numbered(found, order, op.max_edges + 1).withColumnRenamed("rn", "edge_rn")

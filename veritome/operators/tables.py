@@ -23,12 +23,14 @@ class Tables:
     tombstones: DataFrame
 
 
-def version_status(t: Tables) -> DataFrame:
-    """(version_id, asset_id, path, status) of every version; the first rule that fits decides."""
-    a = t.assets.select("asset_id", "current_version_id", "retired_at")
+def version_status(t: Tables, some: DataFrame | None = None) -> DataFrame:
+    """(version_id, asset_id, path, published_revision, status) of every version, or of ``some``, few; the first rule that fits decides."""
+    v, a = t.versions.select("version_id", "asset_id", "path"), t.assets.select("asset_id", "current_version_id", "retired_at")
     p = t.publications.select("version_id", F.col("revision").alias("published_revision"))
     x = t.tombstones.select("version_id", F.lit(True).alias("purged"))
-    rows = t.versions.select("version_id", "asset_id", "path").join(a, "asset_id", "left").join(p, "version_id", "left").join(x, "version_id", "left")
+    if some is not None:
+        v, p, x = (side.join(F.broadcast(some), "version_id", "left_semi") for side in (v, p, x))
+    rows = v.join(a, "asset_id", "left").join(p, "version_id", "left").join(x, "version_id", "left")
     status = (
         F.when(F.col("purged"), "purged")
         .when(F.col("current_version_id") == F.col("version_id"), "current")

@@ -1,4 +1,9 @@
-"""From a plan to DataFrames over one snapshot."""
+"""From a plan to DataFrames over one snapshot.
+
+A node that others read is computed once: its rows, of which the plan allows at most
+10,001, or 100,001 edges, are fetched and handed on as a local table.  So are the rows
+of a response before their status is looked up; the plan has checked their bytes.
+"""
 
 from __future__ import annotations
 
@@ -28,10 +33,10 @@ class Compiled:
         t, node = self.tables, self.plan.nodes[self.plan.output]
         rows = self.nodes[self.plan.output].where(F.col("rn") <= node.limit)
         spans = t.spans.select("evidence_id", "version_id", "start_byte", "end_byte", F.left("text", F.lit(self.plan.excerpt_bytes)).alias("excerpt"))
-        # At most a node's limit of rows, so the two other sides are probed, not moved.
-        near = spans.join(F.broadcast(rows), "evidence_id")
-        status = version_status(t).join(F.broadcast(near.select("version_id").distinct()), "version_id", "left_semi")
-        return near.join(status, "version_id").select("evidence_id", "version_id", "asset_id", "path", "start_byte", "end_byte", "status", "mode", "excerpt", "score", "rn").orderBy("rn")
+        # At most a node's limit of rows, so the other tables are probed, not moved.
+        near = fetched(spans.join(F.broadcast(rows), "evidence_id"))
+        status = version_status(t, near.select("version_id").distinct())
+        return status.join(F.broadcast(near), "version_id").select("evidence_id", "version_id", "asset_id", "path", "start_byte", "end_byte", "status", "mode", "excerpt", "score", "rn").orderBy("rn")
 
     def edge_rows(self) -> DataFrame:
         """(node, source_id, kind, target_id, to_id, edge_rn) of the kept edges."""
@@ -52,15 +57,10 @@ class Compiled:
             out = part if out is None else out.unionByName(part)
         return out
 
-    def persist(self) -> Compiled:
-        """Computes shared nodes once."""
-        for frame in [*self.nodes, *self.edges.values()]:
-            frame.persist()
-        return self
 
-    def unpersist(self) -> None:
-        for frame in [*self.nodes, *self.edges.values()]:
-            frame.unpersist()
+def fetched(rows: DataFrame) -> DataFrame:
+    """The same few rows as a local table."""
+    return rows.sparkSession.createDataFrame(rows.toArrow(), rows.schema)
 
 
 def compile_plan(plan: Plan, t: Tables) -> Compiled:
@@ -69,10 +69,12 @@ def compile_plan(plan: Plan, t: Tables) -> Compiled:
     for i, node in enumerate(plan.nodes):
         op, keep = node.op, node.limit + 1
         if isinstance(op, Neighbors):
-            edges[i] = graph.edges(t, nodes[op.source], plan.nodes[op.source].limit, op)
+            edges[i] = fetched(graph.edges(t, nodes[op.source], plan.nodes[op.source].limit, op))
             nodes.append(graph.endpoints(edges[i], op.max_edges, keep))
         elif isinstance(op, Union):
             nodes.append(graph.union([(nodes[k], plan.nodes[k].limit) for k in op.inputs], keep))
         else:
             nodes.append(_SEARCH[type(op)](t, op, keep))
+        if len(plan.nodes) > 1:
+            nodes[-1] = fetched(nodes[-1])
     return Compiled(plan, t, nodes, edges)

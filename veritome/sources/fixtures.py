@@ -1,20 +1,29 @@
-"""A deterministic corpus derived from the ``documents`` table.
+"""Corpora made from the ``documents`` table by the set-based calls.
 
-Four successive documents are the versions of one asset; ids are md5 digests in
-UUID form, so another engine can derive the same rows.  Of the assets every fifth
-has its first version purged, every seventh is retired and every third has its
-last version staged only.
+``lines``: four successive documents are the versions of one asset, with a span a
+line.  Each revision is staged on the one before and published, but for the last one
+of every third asset, which stays staged; then every seventh asset is retired, and
+the first version of every fifth is purged where it is not current.  ``whole``: each
+document is an asset of its own with one span and, if it has one, an embedding; those
+without cannot be published.  Ids follow from the keys, so SQL can derive the same.
+
+A corpus is written once a session and folder; queries read its tables.
 """
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from veritome.functions import fulltext, utf8
+from veritome.api import Evidence
 from veritome.operators.tables import Tables
+from veritome.sources import batch
+from veritome.sources.shared import shared_dir
 
-EPOCH = "2024-01-01 00:00:00"
+VERSIONS, MODEL, DIMENSIONS = 4, "fixture", 64
+_made: dict[tuple[str, str], Evidence] = {}
 
 
 def uuid_of(text: Column) -> Column:
@@ -28,19 +37,13 @@ def _key(prefix: str, *parts: Column) -> Column:
 
 def _documents(spark: SparkSession, sf_dir: str, columns: list[str]) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(*columns)
-    return docs.withColumn("asset_no", F.floor(F.col("doc_id") / 4)).withColumn("rev", F.col("doc_id") % 4 + 1)
+    return docs.withColumn("asset_no", F.floor(F.col("doc_id") / VERSIONS)).withColumn("rev", F.col("doc_id") % VERSIONS + 1)
 
 
 def _lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(asset_no, last, published, current): the last revision, the last published and the current one."""
+    """(asset_no, last, published): the last revision and the last one to be published."""
     last = _documents(spark, sf_dir, ["doc_id"]).groupBy("asset_no").agg(F.max("rev").alias("last"))
-    published = F.when(F.col("asset_no") % 3 == 0, F.col("last") - 1).otherwise(F.col("last"))
-    published = last.withColumn("published", published)
-    return published.withColumn("current", F.when((F.col("asset_no") % 7 != 0) & (F.col("published") > 0), F.col("published")))
-
-
-def _purged(asset_no: Column, rev: Column) -> Column:
-    return (asset_no % 5 == 0) & (rev == 1)
+    return last.withColumn("published", F.when(F.col("asset_no") % 3 == 0, F.col("last") - 1).otherwise(F.col("last")))
 
 
 def line_spans(docs: DataFrame) -> DataFrame:
@@ -51,58 +54,73 @@ def line_spans(docs: DataFrame) -> DataFrame:
     return placed.select("doc_id", "line_no", (F.col("after") - 1 - F.octet_length("line")).cast("int").alias("start_byte"), (F.col("after") - 1).cast("int").alias("end_byte"), F.col("line").alias("text"))
 
 
-def whole_spans(docs: DataFrame) -> DataFrame:
-    return docs.where("text <> ''").select("doc_id", F.lit(0).alias("line_no"), F.lit(0).alias("start_byte"), F.octet_length("text").alias("end_byte"), "text")
+def corpus(spark: SparkSession, sf_dir: str, whole: bool = False) -> tuple[Evidence, str]:
+    """The corpus of a folder and its name, made when it is first asked for."""
+    key, name = (spark.sparkContext.applicationId, sf_dir), "whole" if whole else "lines"
+    if key not in _made:
+        _made[key] = Evidence(spark, f"{shared_dir(spark)}/veritome-corpora-{uuid4().hex}", user="fixture", timeout=600.0)
+    evidence = _made[key]
+    if not evidence.exists(name):
+        (_make_whole if whole else _make_lines)(evidence, f"{name}_new", sf_dir)
+        evidence.rename(f"{name}_new", name)
+    return evidence, name
 
 
 def tables(spark: SparkSession, sf_dir: str, whole: bool = False) -> Tables:
-    """The corpus, with a span a line, or with ``whole`` a span and an embedding a document."""
-    docs = _documents(spark, sf_dir, ["doc_id", "text", "lang", "source"])
+    """The tables of a corpus: a span a line, or with ``whole`` a span and an embedding a document."""
+    evidence, name = corpus(spark, sf_dir, whole)
+    return evidence.tables(name)
+
+
+def _paths(docs: DataFrame, number: str) -> DataFrame:
+    path = F.concat_ws("/", F.col("source"), F.col("lang"), F.concat(F.lpad(F.col(number).cast("string"), 8, "0"), F.lit(".txt")))
+    return docs.withColumn("path", path).withColumn("ingestion_key", F.concat(F.lit("doc:"), F.col("doc_id").cast("string")))
+
+
+def _make_lines(evidence: Evidence, name: str, sf_dir: str) -> None:
+    spark = evidence.spark
+    evidence.init_collection(name, {})
+    docs = _paths(_documents(spark, sf_dir, ["doc_id", "text", "lang", "source"]), "asset_no").withColumn("asset_id", _key("a:", F.col("asset_no")))
     life = _lifecycle(spark, sf_dir)
-    at = F.lit(EPOCH).cast("timestamp")
-    asset, version = _key("a:", F.col("asset_no")), _key("v:", F.col("doc_id"))
-    purged = _purged(F.col("asset_no"), F.col("rev"))
-    path = F.concat_ws("/", F.col("source"), F.col("lang"), F.concat(F.lpad(F.col("asset_no").cast("string"), 8, "0"), F.lit(".txt")))
-    versions = docs.select(
-        version.alias("version_id"), asset.alias("asset_id"), path.alias("path"), F.when(~purged, F.col("text")).alias("source"), utf8.sha256_hex(F.col("text")).alias("source_sha256"),
-        F.octet_length("text").alias("byte_length"), F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("ingestion_key"),
-        utf8.sha256_hex(F.concat_ws(":", F.lit("request"), F.col("doc_id").cast("string"))).alias("request_sha256"), (F.col("rev") - 1).alias("base_revision"), F.lit("fixture").alias("created_by"), at.alias("created_at"),
-    )
-    current = _key("v:", F.col("asset_no") * 4 + F.col("current") - 1)
-    # Paths of current versions are looked up by id; the pointer itself needs no join.
-    assets = life.select(
-        asset.alias("asset_id"), F.when(F.col("current").isNotNull(), current).alias("current_version_id"), F.lit(None).cast("string").alias("current_path"), F.col("published").alias("content_revision"),
-        F.lit(0).cast("long").alias("annotation_revision"), F.when(F.col("asset_no") % 7 == 0, at).alias("retired_at"), at.alias("created_at"),
-    )
-    every = life.select("asset_no", F.explode(F.sequence(F.lit(1).cast("long"), F.col("last"))).alias("rev"), "published").where("rev <= published")
-    publications = every.select(asset.alias("asset_id"), _key("v:", F.col("asset_no") * 4 + F.col("rev") - 1).alias("version_id"), F.col("rev").alias("revision"), F.lit("fixture").alias("published_by"), at.alias("published_at"))
-    parts = (whole_spans if whole else line_spans)(docs.select("doc_id", "text"))
-    gone = _purged(F.floor(F.col("doc_id") / 4), F.col("doc_id") % 4 + 1)
-    text = F.when(~gone, F.col("text"))
-    evidence = _key("w:", F.col("doc_id")) if whole else _key("e:", F.col("doc_id"), F.col("line_no"))
-    spans = parts.select(evidence.alias("evidence_id"), version.alias("version_id"), "start_byte", "end_byte", text.alias("text"), fulltext.tokens(text).alias("tokens"))
+    rows = docs.select("asset_id", "path", F.col("text").alias("source"), "ingestion_key", (F.col("rev") - 1).alias("expected_revision"), "doc_id", "asset_no", "rev")
+    version = batch._id("version", "ingestion_key").alias("version_id")
+    for rev in range(1, VERSIONS + 1):
+        some = rows.where(F.col("rev") == rev)
+        spans = line_spans(some.select("doc_id", F.col("source").alias("text"))).select(F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("ingestion_key"), "start_byte", "end_byte")
+        batch.stage(evidence, name, some, spans)
+        batch.publish(evidence, name, some.join(life.select("asset_no", "published"), "asset_no").where("rev <= published").select(version))
+    batch.retire(evidence, name, life.where("asset_no % 7 = 0").select(_key("a:", F.col("asset_no")).alias("asset_id"), F.col("published").alias("expected_revision")))
+    batch.purge(evidence, name, rows.where("asset_no % 5 = 0 and rev = 1").select(version, F.lit("retention").alias("reason")))
     first = docs.groupBy("asset_no").agg(F.min_by("lang", "doc_id").alias("lang"), F.min_by("source", "doc_id").alias("source"))
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").withColumn("asset_no", F.floor(F.col("doc_id") / 4))
-    tag_rows = first.select("asset_no", F.explode(F.array(F.concat(F.lit("lang:"), "lang"), F.concat(F.lit("src:"), "source"))).alias("tag")).unionByName(
-        labels.select("asset_no", F.explode(F.array(F.concat(F.lit("quality:"), F.col("quality").cast("string")), F.concat(F.lit("toxic:"), F.col("toxic").cast("string")))).alias("tag")).distinct()
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").withColumn("asset_no", F.floor(F.col("doc_id") / VERSIONS))
+    tags = first.select("asset_no", F.explode(F.array(F.concat(F.lit("lang:"), "lang"), F.concat(F.lit("src:"), "source"))).alias("tag")).unionByName(
+        labels.select("asset_no", F.explode(F.array(F.concat(F.lit("quality:"), F.col("quality").cast("string")), F.concat(F.lit("toxic:"), F.col("toxic").cast("string")))).alias("tag"))
     )
-    tags = tag_rows.select(asset.alias("asset_id"), "tag", F.lit("fixture").alias("created_by"), at.alias("created_at"))
-    tombstones = docs.where(purged).select(version.alias("version_id"), F.lit("fixture").alias("purged_by"), at.alias("purged_at"), F.lit("retention").alias("reason"))
-    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    kept = vectors.join(docs.where(~purged & (F.col("text") != "")).select("doc_id"), F.col("vec_id") == F.col("doc_id"), "left_semi")
-    embeddings = kept.select(_key("w:", F.col("vec_id")).alias("evidence_id"), "embedding")
-    return Tables(spark, assets, versions, publications, spans, embeddings, tags, _relations(docs, at), tombstones)
-
-
-def _relations(docs: DataFrame, at: Column) -> DataFrame:
-    """``follows``: a line and the next non-empty one; ``copy_of``: the first line of a copy and that of the first equal text."""
-    lines = docs.select("doc_id", F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda s: s["x"] != "").alias("lines"))
-    numbers = lines.select("doc_id", F.transform("lines", lambda s: s["i"]).alias("n"))
-    pairs = numbers.select("doc_id", F.explode(F.arrays_zip(F.slice("n", 1, F.greatest(F.size("n") - 1, F.lit(0))).alias("a"), F.slice("n", F.lit(2), F.greatest(F.size("n") - 1, F.lit(0))).alias("b"))).alias("p"))
-    follows = pairs.select(_key("e:", F.col("doc_id"), F.col("p.a")).alias("source_evidence_id"), F.lit("follows").alias("kind"), _key("e:", F.col("doc_id"), F.col("p.b")).alias("target_evidence_id"))
-    first_line = numbers.where("size(n) > 0").select("doc_id", F.element_at("n", 1).alias("line"))
+    batch.tag(evidence, name, tags.select(_key("a:", F.col("asset_no")).alias("asset_id"), "tag"))
+    batch.link(evidence, name, _relations(docs.select("doc_id", "text")))
+
+
+def _make_whole(evidence: Evidence, name: str, sf_dir: str) -> None:
+    spark = evidence.spark
+    evidence.init_collection(name, {"embedding_model": MODEL, "embedding_dimensions": DIMENSIONS})
+    docs = _paths(_documents(spark, sf_dir, ["doc_id", "text", "lang", "source"]), "doc_id").withColumn("asset_id", _key("w:", F.col("doc_id")))
+    rows = docs.select("asset_id", "path", F.col("text").alias("source"), "ingestion_key", F.lit(0).alias("expected_revision"), "doc_id")
+    spans = rows.where("source <> ''").select("ingestion_key", F.lit(0).alias("start_byte"), F.octet_length("source").alias("end_byte"))
+    staged = batch.stage(evidence, name, rows, spans)
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").join(rows.where("source <> ''").select(F.col("doc_id").alias("vec_id"), "ingestion_key", F.octet_length("source").cast("string").alias("n")), "vec_id")
+    batch.attach(evidence, name, vectors.select(batch._id("span", "ingestion_key", F.lit("0"), "n").alias("evidence_id"), "embedding"))
+    batch.publish(evidence, name, staged.where("problem is null"))
+
+
+def _relations(docs: DataFrame) -> DataFrame:
+    """``follows``: a line and the next one; ``copy_of``: the first line of a copy and that of the first equal text."""
+    lines = line_spans(docs)
+    ids = lines.select("doc_id", "line_no", batch._id("span", F.concat(F.lit("doc:"), F.col("doc_id").cast("string")), F.col("start_byte").cast("string"), F.col("end_byte").cast("string")).alias("id"))
+    following = F.lead("id").over(Window.partitionBy("doc_id").orderBy("line_no"))
+    follows = ids.select(F.col("id").alias("source_evidence_id"), F.lit("follows").alias("kind"), following.alias("target_evidence_id")).where("target_evidence_id is not null")
+    first_line = ids.groupBy("doc_id").agg(F.min_by("id", "line_no").alias("id"))
     digests = docs.select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"))
     firsts = digests.groupBy("digest").agg(F.min("doc_id").alias("first_doc"))
     copies = digests.join(firsts, "digest").where("doc_id <> first_doc").select("doc_id", "first_doc").join(first_line, "doc_id")
-    copy_of = copies.select(_key("e:", F.col("doc_id"), F.col("line")).alias("source_evidence_id"), F.lit("copy_of").alias("kind"), _key("e:", F.col("first_doc"), F.col("line")).alias("target_evidence_id"))
-    return follows.unionByName(copy_of).select("*", F.lit("fixture").alias("asserted_by"), at.alias("asserted_at"))
+    copies = copies.join(first_line.select(F.col("doc_id").alias("first_doc"), F.col("id").alias("first_id")), "first_doc")
+    return follows.unionByName(copies.select(F.col("id").alias("source_evidence_id"), F.lit("copy_of").alias("kind"), F.col("first_id").alias("target_evidence_id")))
