@@ -74,3 +74,32 @@ def test_long_items_stay_whole(spark, prose, monkeypatch):
     assert sorted(r.doc_id for r in Q.keep_clean(docs, items).collect()) == [2, 4]
     monkeypatch.setattr(Q, "BLOCK_CHARS", 10)
     assert [len(b.ids) for b in Q.blocks(items, "item_id", "text")] == [1, 1]
+
+
+def test_ids_of_any_type_and_ties(spark, prose):
+    item = prose(800, 20)
+    docs = documents(spark, [(1, f"{prose(1, 30)} {item} {prose(2, 30)} {item}")])
+    for kind, value in (("int", 7), ("string", "q"), ("smallint", 3)):
+        items = spark.createDataFrame([(value, item), (None, prose(801, 20))], f"item_id {kind}, text string")
+        got = Q.find_leaks(docs, items)
+        assert got.schema["item_id"].dataType == items.schema["item_id"].dataType
+        assert [(r.item_id, r.score, r.first_word, r.end_word) for r in got.collect()] == [(value, 1.0, 30, 50)]  # the first of two places
+
+
+def test_recall_of_edited_copies(spark, prose):
+    rnd, items, rows = random.Random(8), [], []
+    for k in range(60):
+        words = prose(900 + k, 40).split()
+        items.append((k, " ".join(words)))
+        edited = [f"new{rnd.randrange(99)}" if rnd.random() < 0.2 else w for w in words if rnd.random() > 0.05]
+        rows.append((k, f"{prose(rnd.random(), 40)} {' '.join(edited)} {prose(rnd.random(), 40)}"))
+    got = {(r.doc_id, r.item_id) for r in Q.find_leaks(documents(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert {(k, k) for k in range(60)} <= got | {(k, k) for k in range(60) if (k, k) not in brute(rows[k : k + 1], items[k : k + 1])}
+
+
+def test_clashing_names(spark, prose):
+    item = prose(5, 20)
+    docs = spark.createDataFrame([(1, item, 0.5, "x"), (2, "fine words", 0.1, "y")], "doc_id long, text string, score double, __text string")
+    items = spark.createDataFrame([(1, item, "z")], "item_id long, text string, score string")
+    assert [tuple(r) for r in Q.keep_clean(docs, items).collect()] == [(2, "fine words", 0.1, "y")]
+    assert [r.doc_id for r in Q.find_leaks(docs, items).collect()] == [1]
