@@ -69,6 +69,21 @@ def test_keep_one_and_empty_table(spark, prose):
     assert Q.jaccard_components(documents(spark, [])).collect() == []
 
 
+def test_one_row_of_a_group_stays(spark, prose):
+    a, b, c = prose(1), prose(2), prose(3)
+    rows = [(5, a), (5, a), (None, a), (5, b), (None, c), (None, c + " x"), (7, b), (None, None), (None, ""), (9, None), (9, None)]
+    got = sorted(((r.doc_id, r.text) for r in Q.keep_one(documents(spark, rows).repartition(3)).collect()), key=str)
+    texts = [t for _, t in got]
+    assert texts.count(a) == 1 and (5, a) in got and (5, b) in got and (7, b) not in got
+    assert sum(t in (c, c + " x") for t in texts) == 1 and texts.count("") == 1 and texts.count(None) == 3 and len(got) == 7
+
+
+def test_very_long_texts(spark, prose):
+    long = prose(4, 40_000)
+    rows = [(1, long), (2, long + " " + prose(5, 200)), (3, prose(6, 40_000)), (4, prose(7, 30))]
+    assert sorted(map(tuple, Q.jaccard_components(documents(spark, rows)).collect())) == brute(rows)
+
+
 def test_copies_in_several_tasks_count_once(spark, prose):
     texts = [t for k in (1, 2) for t in (prose(k), prose(k) + " more")]
     rows = [(10 * copy + k, text) for copy in range(2) for k, text in enumerate(texts)]

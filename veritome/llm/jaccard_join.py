@@ -372,24 +372,35 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, id_col: str = "d
 
 
 def keep_one(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is their component's; the smallest id of each group stays.
+    """One row of each group of near copies, and every row without shingles; all columns.
 
-    Only rows whose id a filter of the ids to drop lets through meet that list;
-    all others stay where they are.
+    Of a group stays the row with the smallest id, null ids last; of several rows with
+    that id one, by their node and place in the input.  Nodes tell rows apart, so a
+    repeated id with other text, and a null id, are judged by their own group.
     """
-    gone = scratch.cut(jaccard_components(docs, percent, id_col, text_col).where(F.col(id_col) != F.col("component_id")).select(id_col).distinct())
-    shared = docs.sparkSession.sparkContext.broadcast(repeats.key_filter(gone.select(F.xxhash64(id_col))))
-    hashed = docs.select("*", F.xxhash64(id_col).alias("__key"))
+    spark = docs.sparkSession
+    # The rows with a number each, written once: numbers must not change between the passes.
+    rows = scratch.cut(docs.withColumn("__row", F.monotonically_increasing_id()))
+    key = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("__row").alias("row"))
+    keyed = rows.select(key.alias("__key"), F.col(text_col).alias("__text"))
+    join = Join(keyed, percent, "__key", "__text")
+    nodes = scratch.cut(join.documents.where("n > 0").groupBy("node").agg(F.min("id").alias("least")))
+    nodes = scratch.cut(nodes.join(join.labels(), "node", "left").select("node", "least", F.coalesce("component", "node").alias("component")))
+    names = nodes.groupBy("component").agg(F.min("least").alias("stays"))
+    stays = scratch.cut(nodes.join(names, "component").select("node", F.col("stays.row").alias("stays")))
+    gone = scratch.cut(join.documents.where("n > 0").select("node", F.col("id.row").alias("__row")).join(stays, "node").where("__row <> stays").select("__row"))
+    # Only rows that a filter of those to drop lets through meet that list; all others stay where they are.
+    shared = spark.sparkContext.broadcast(repeats.key_filter(gone))
 
     def split(hit: bool) -> DataFrame:
         def run(batches):
             for batch in batches:
                 found = shared.value.passes(batch.column(batch.num_columns - 1).to_numpy().view(np.uint64)) == hit
-                yield pa.RecordBatch.from_arrays([c.filter(pa.array(found)) for c in batch.columns[:-1]], names=batch.schema.names[:-1])
+                yield pa.RecordBatch.from_arrays([c.filter(pa.array(found)) for c in batch.columns], names=batch.schema.names)
 
-        return hashed.mapInArrow(run, docs.schema)
+        return rows.mapInArrow(run, rows.schema)
 
-    return split(False).unionByName(split(True).join(gone, id_col, "left_anti").select(*docs.columns))
+    return split(False).unionByName(split(True).join(gone, "__row", "left_anti")).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
