@@ -37,3 +37,26 @@ def test_hilbert_neighbours_touch():
         keys = Q.hilbert(points, bits)
         assert sorted(keys) == list(range(len(points)))
         assert (np.abs(np.diff(points[np.argsort(keys)], axis=0)).sum(1) == 1).all()
+
+
+def test_only_plain_files_take_the_fast_way(tmp_path):
+    import json
+
+    spec = json.load(open(Q.default_tokenizer()))
+    assert Q.encoder(Q.default_tokenizer()).fast is not None
+    text = "don't  stop 123 \u00e9\u00e8 <|endoftext|> x"
+    for number, change in enumerate([{"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": True}}, {"pre_tokenizer": {"type": "Whitespace"}}]):
+        path = tmp_path / f"{number}.json"
+        path.write_text(json.dumps(spec | change))
+        encode = Q.encoder(str(path))
+        assert encode.fast is None and encode(text) == encode.exact.encode(text, add_special_tokens=False).ids
+
+
+def test_documents_follow_the_curve(spark, prose):
+    rows = [(k, prose(k % 7, 60 + k)) for k in range(60)]
+    got = Q.pack(documents(spark, rows), Q.default_tokenizer()).collect()
+    encode = Q.encoder(Q.default_tokenizer())
+    ids = [np.array(encode(t) + [Q.END_ID], np.uint32) for _, t in rows]
+    keys = Q.curve_keys(np.concatenate(ids), np.array([len(x) for x in ids]))
+    order = [r.doc_id for r in sorted(got, key=lambda r: (r.sequence_id, r.offset)) if r.start == 0]
+    assert [keys[d] for d in order] == sorted(keys.tolist())

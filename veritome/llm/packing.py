@@ -19,6 +19,7 @@ no pieces; other input columns are not read.
 
 from __future__ import annotations
 
+import re
 import zlib
 
 import numpy as np
@@ -35,7 +36,6 @@ DIMENSIONS, BITS = 4, 12
 #: Spread of a mean token vector: means of a few hundred tokens fill the grid.
 SCALE = 6.0
 END_ID = 0
-SPECIAL = "<|endoftext|>"
 
 _loaded: dict[str, object] = {}
 
@@ -43,9 +43,10 @@ _loaded: dict[str, object] = {}
 class Encoder:
     """Ids of the tokenizer in ``path``.
 
-    The byte-pair merges are run by tiktoken on the very vocabulary of that file,
-    which gives the same ids several times faster; a text that spells the special
-    token goes through the tokenizer itself, which treats it as one id.
+    Where the file describes plain byte-level byte-pair encoding (``_plain``), the merges
+    are run by tiktoken on its very vocabulary, which gives the same ids several times
+    faster; any other file, and a text that spells an added token, goes through the
+    tokenizer itself.
     """
 
     def __init__(self, path: str) -> None:
@@ -56,19 +57,37 @@ class Encoder:
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        chars = _byte_chars()
-        special = {x["content"] for x in spec["added_tokens"]}
+        self.exact, self.fast = Tokenizer.from_file(path), None
+        chars, special = _byte_chars(), {x["content"] for x in spec["added_tokens"]}
+        self.special = re.compile("|".join(map(re.escape, sorted(special))) or "(?!)")
+        if not _plain(spec, chars, special):
+            return
         ranks = {bytes(chars[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
         pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"  # fixed: the byte-level pre-tokenizer's pattern
         self.fast = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.exact = Tokenizer.from_file(path)
 
     def __call__(self, text: str) -> list[int]:
-        if SPECIAL in text:
+        if self.fast is None or self.special.search(text):
             return self.exact.encode(text, add_special_tokens=False).ids
         return self.fast.encode_ordinary(text)
 
 
+def _plain(spec: dict, chars: dict[str, int], special: set[str]) -> bool:
+    """Whether a tokenizer file says no more than: byte-level words, merged in the order of their ids."""
+    model, before = spec["model"], spec["pre_tokenizer"] or {}
+    if model["type"] != "BPE" or spec["normalizer"] or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or before.get("use_regex") is False:
+        return False
+    if any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")):
+        return False
+    words = {t: i for t, i in model["vocab"].items() if t not in special}
+    if any(c not in chars for t in words for c in t) or not all(c in words for c in chars):
+        return False
+    merged = ["".join(m) if isinstance(m, list) else m.replace(" ", "", 1) for m in model["merges"]]
+    ids = [words.get(t, -1) for t in merged]
+    # Each longer word has one merge, and merges come in the order of ids.
+    return ids == sorted(ids) and len(set(ids)) == len(ids) == len(words) - len(chars)
+
+
 def _byte_chars() -> dict[str, int]:
     """The printable stand-in of each byte in byte-level vocabularies: printable Latin-1 stands for itself, the rest follow from 256 on."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
