@@ -72,3 +72,25 @@ def test_spans_redaction_and_odd_rows(spark, prose):
     clean = {r.doc_id: r.text for r in Q.redact(docs, tagger).collect()}
     assert clean[1] is None and clean[2] == "" and "555" not in clean[10] + clean[11] and "<EMAIL>" in clean[10]
     assert Q.personal_data(documents(spark, []), Q.fit(documents(spark, []))).collect() == []
+
+
+def test_spans_do_not_depend_on_which_windows_are_decoded(spark, prose, monkeypatch):
+    tagger = Q.fit(documents(spark, [(k, prose(k, 80)) for k in range(20)]))
+    rnd = random.Random(3)
+    items = ["x" * 150 + " @ mail.org", "(415) 555-2671", "a.b @ c.de", "call 415 555 2671 now", "10.0.0.1", "4111 1111 1111 1111", "no digits"]
+    texts = [" ".join(f"{prose(rnd.random(), rnd.randrange(40))} {rnd.choice(items)}" for _ in range(5)) + " " + prose(rnd.random(), 50) for _ in range(40)] + ["", "@", "1", " 1 ", "é" * 70 + "1" + "é" * 70]
+    some = Q.all_spans(texts, tagger)
+    monkeypatch.setattr(Q, "_near_trigger", lambda points: np.ones(len(points), bool))
+    assert some == Q.all_spans(texts, tagger)
+
+
+def test_training_texts_are_whole(spark, prose):
+    late = prose(1, 9000) + " late.person@mail.org"
+    seen: list = []
+    real = Q.training_set
+    Q.training_set = lambda texts: seen.extend(texts) or real(texts)
+    try:
+        Q.fit(documents(spark, [(1, late)]))
+    finally:
+        Q.training_set = real
+    assert seen == [late] and len(late) > 20_000

@@ -5,8 +5,9 @@ passing Luhn) and international phone numbers, each kind found from the left
 without overlaps; matches that fail their test are dropped and not retried.
 
 The tagger (``sequence_tagger``) reads windows of 64 characters, each overlapping
-the next by half.  Every kind holds a digit or ``@``, so every window with one is
-decoded, over the whole text; others cannot hold a span.  Each character takes its
+the next by half.  Every kind holds a digit or ``@``, so every window is decoded that
+meets a run of non-blanks with one, or a run next to that: a tagged span has at most
+one blank on either side of ``@``, and numbers have digits in each run.  Each character takes its
 tag from the window in which it lies more centrally, and spans are read off the
 tags of the whole text, across window borders.  A tagged span is added if it meets
 no exact span and passes its kind's test.
@@ -38,8 +39,8 @@ from veritome.llm.sequence_tagger import PAD, Tagger, classes
 
 KINDS = ("email", "ip", "card", "phone")
 WINDOW, STRIDE = 64, 32
-#: Bounds of the training sample: documents, and characters of one that may be sampled.
-SAMPLE_DOCS, SAMPLE_CHARS = 400, 20_000
+#: Bound of the training sample: documents, read whole.
+SAMPLE_DOCS = 400
 #: Generated windows and passes over the training set.
 GENERATED, EPOCHS = 2400, 5
 DECODE_BATCH = 512
@@ -55,6 +56,9 @@ _LOCAL = frozenset(string.ascii_letters + string.digits + "._%+-")
 _TRIGGER = np.zeros(256, bool)
 _TRIGGER[[*b"0123456789@"]] = True
 
+_BLANK = np.zeros(256, bool)
+_BLANK[[0x20, *range(0x09, 0x0E)]] = True
+
 Span = tuple[str, int, int]
 
 
@@ -189,7 +193,7 @@ def training_set(texts: list[str], seed: int = 5) -> tuple[np.ndarray, np.ndarra
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Tagger:
     """Trains on the driver; the sample is bounded and chosen in hash order of the ids."""
     ids = [r[0] for r in docs.select(docs[id_col]).where(docs[id_col].isNotNull()).distinct().orderBy(F.xxhash64(id_col), id_col).limit(SAMPLE_DOCS).collect()]
-    texts = [] if not ids else [r[1] for r in sorted(docs.where(docs[id_col].isin(ids)).select(docs[id_col], F.left(docs[text_col].cast("string"), F.lit(SAMPLE_CHARS))).collect(), key=str) if r[1]]
+    texts = [] if not ids else [r[1] for r in sorted(docs.where(docs[id_col].isin(ids)).select(docs[id_col], docs[text_col].cast("string")).collect(), key=str) if r[1]]
     tagger = Tagger(1 + 2 * len(KINDS))
     tagger.train(*training_set(texts), EPOCHS)
     return tagger
@@ -198,14 +202,23 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Tagg
 # ---- whole texts ------------------------------------------------------------
 
 
+def _near_trigger(points: np.ndarray) -> np.ndarray:
+    """Characters of runs between blanks that hold a digit or ``@``, and of the runs next to these."""
+    blank = _BLANK[points]
+    run = np.cumsum(np.diff(blank, prepend=True) & ~blank)  # numbered from 1; blanks have the number of the run before
+    hit = np.zeros(int(run[-1]) + 3 if len(run) else 3, bool)
+    hit[run[_TRIGGER[points] & ~blank]] = True
+    hit[:-1] |= hit[1:].copy()
+    hit[1:] |= hit[:-1].copy()
+    return hit[run]
+
+
 def tagged_spans(texts: list[str], tagger: Tagger) -> list[list[Span]]:
     """What the tagger finds in each text, overlapping windows reconciled."""
     points = [classes(np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)) for t in texts]
-    held = np.zeros(130, bool)
-    held[[*b"0123456789@"]] = True
     owners, starts = [], []
     for i, p in enumerate(points):
-        block = np.unique(np.flatnonzero(held[p]) // STRIDE)
+        block = np.unique(np.flatnonzero(_near_trigger(p)) // STRIDE)
         first = np.unique(np.concatenate([block, np.maximum(block - 1, 0)])) * STRIDE
         owners.append(np.full(len(first), i))
         starts.append(first)
