@@ -2,31 +2,22 @@
 
 ``cut(df)`` writes a Parquet table below the folder that the session names in
 ``spark.checkpoint.dir`` and reads it back: a lost executor then costs at most
-the reading of a file, and nothing lies on a machine's own disk.  Only where the
-setting is missing (tests, local use) a temporary folder is chosen.
+the reading of a file, and nothing lies on a machine's own disk.  Without the setting a
+temporary folder is chosen where one machine runs everything, and refused elsewhere.
 """
 
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-_made: list[tuple[SparkSession, str]] = []
-_fallback: list[str] = []
-
+from veritome.sources.shared import shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not _fallback:
-        _fallback.append(tempfile.mkdtemp(prefix="veritome-"))
-    return f"file://{_fallback[0]}"
+_made: list[tuple[SparkSession, str]] = []
 
 
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -86,12 +77,8 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 @atexit.register
 def _sweep() -> None:
-    import shutil
-
     for spark, path in _made:
         try:
             _delete(spark, path)
         except Exception:  # the session may be gone before the interpreter
             continue
-    for path in _fallback:
-        shutil.rmtree(path, ignore_errors=True)
