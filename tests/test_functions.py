@@ -1,4 +1,6 @@
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from veritome.errors import EvidenceError
@@ -22,6 +24,7 @@ def test_byte_slice(spark):
 REGEX = [
     ("a.b", "a\nb", True), ("^b", "a\nb", False), ("a$", "a\n", False), ("a$", "xa", True), ("[[:digit:]]+x", "12x", True), ("[^[:alpha:]]", "abc", False), (r"\mfoo\M", "a foo b", True), (r"\mfoo\M", "afoo", False),
     ("[]x]", "]", True), ("[a&&b]", "&", True), (r"\$", "$", True),
+    (r"^\w$", "é", True), (r"\mé\M", "a é b", True), (r"\mb", "éb", False), (r"\yéa\y", "x éa", True), (r"^\d$", "٣", True), (r"\D", "٣", False), ("^[[:punct:]]$", "»", True), ("^[[:punct:]]$", "+", True), (r"^\s$", "\u2003", True), ("^[[:word:]]+$", "né_1", True),
 ]
 
 
@@ -90,3 +93,21 @@ def test_chunks(spark):
                 assert raw[b - 1 : b] == b"\n" or raw.find(b"\n", b) + 1 - raw.rfind(b"\n", 0, b) - 1 > most or raw.find(b"\n", b) < 0
     got = chunk_lines(spark.createDataFrame([(1, "a\nb"), (2, None), (3, "")], "doc_id long, text string"), 4).collect()
     assert [tuple(r) for r in got] == [(1, 0, 0, 3)]
+
+
+def test_chunks_end_with_lines():
+    assert chunk_spans(b"a\rb\r\nc\n", 4) == [(0, 2), (2, 5), (5, 7)]
+    assert chunk_spans(b"ab\r\ncd", 4) == [(0, 4), (4, 6)] and chunk_spans(b"abc\r\nd", 4) == [(0, 4), (4, 6)]
+    assert chunk_spans("ééé\nx".encode(), 5) == [(0, 4), (4, 8)] and chunk_spans(b"", 4) == []
+
+
+@given(st.text(st.sampled_from("a\r\né😀"), max_size=60), st.integers(4, 12))
+def test_chunks_are_as_long_as_they_can_be(text, most):
+    raw = text.encode()
+    spans = chunk_spans(raw, most)
+    ends = [sum(map(len, raw.splitlines(keepends=True)[:k])) for k in range(1, len(raw.splitlines()) + 1)]
+    assert b"".join(raw[a:b] for a, b in spans) == raw
+    for a, b in spans:
+        assert 0 < b - a <= most and raw[a:b].decode() is not None
+        fitting = [e for e in ends if a < e <= a + most]
+        assert b == fitting[-1] if fitting else b + 4 > a + most

@@ -27,6 +27,20 @@ def test_query_equals_sql(spark, duck, name):
     assert plain(QUERIES[name](spark, DATA).toPandas()) == plain(duck.execute(ORACLE[name]).df())
 
 
+def scans(df):
+    plan = df._jdf.queryExecution().sparkPlan().toString()
+    return plan, plan.count("FileScan parquet")
+
+
+def test_filters_reach_the_scan(spark):
+    from veritome import queries as q
+
+    plan, n = scans(q._compiled(spark, DATA, q.Node("hits", q.Literal(q.NEEDLE), 5)).nodes[0])
+    assert f"StringContains(text,{q.NEEDLE})" in plan and n == 3 and plan.count("FileScan parquet") == plan.count("ReadSchema") and "source" not in plan
+    plan, n = scans(QUERIES["composed_lexical_hop_union"](spark, DATA))
+    assert n <= 5  # nodes are computed once; the rest is the look-up of their rows
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(QUERIES) <= set(__spark_entry__.queries()) and set(ORACLE) <= set(__spark_entry__.oracle_sql())

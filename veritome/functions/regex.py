@@ -2,7 +2,8 @@
 
 There a newline is an ordinary character and ``^`` and ``$`` anchor the whole
 string; bracket classes such as ``[[:alpha:]]`` and the word anchors ``\\m \\M \\y``
-exist; case-insensitive matching covers all letters.
+exist; classes, escapes such as ``\\w`` and ``\\d``, word anchors and case-insensitive
+matching cover the letters and digits of all scripts.
 """
 
 from __future__ import annotations
@@ -14,13 +15,14 @@ from veritome.errors import BAD_REGEX, EvidenceError
 # Bracket classes and escapes.
 CLASSES = {
     "alpha": r"\p{IsAlphabetic}", "digit": r"\p{IsDigit}", "alnum": r"\p{IsAlphabetic}\p{IsDigit}", "upper": r"\p{IsUppercase}", "lower": r"\p{IsLowercase}",
-    "space": r"\s", "blank": r" \t", "punct": r"\p{Punct}", "cntrl": r"\p{Cntrl}", "xdigit": r"0-9A-Fa-f", "print": r"\p{Print}", "graph": r"\p{Graph}", "word": r"\w",
+    "space": r"\s", "blank": r" \t", "punct": r"\p{IsPunctuation}\p{S}", "cntrl": r"\p{Cntrl}", "xdigit": r"0-9A-Fa-f", "print": r"\p{Print}", "graph": r"\p{Graph}", "word": r"\w",
 }
 ESCAPES = {"m": r"\b(?=\w)", "M": r"\b(?<=\w)", "y": r"\b", "Y": r"\B", "Z": r"\z", "A": r"\A"}
 
 
 def to_java(pattern: str, case_insensitive: bool = False) -> str:
-    out, i, inside = ["(?iu)" if case_insensitive else "", "(?s)"], 0, False
+    # (?U): the predefined classes by their Unicode properties, word boundaries with them.
+    out, i, inside = ["(?iu)" if case_insensitive else "", "(?sU)"], 0, False
     while i < len(pattern):
         c = pattern[i]
         if c == "\\" and i + 1 < len(pattern):
