@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
@@ -95,6 +97,19 @@ def test_chunks(spark):
     assert [tuple(r) for r in got] == [(1, 0, 0, 3)]
 
 
+def test_rank_in_the_jvm_equals_cover_density(spark):
+    rnd = random.Random(3)
+    texts = [" ".join(rnd.choice("abcde") for _ in range(rnd.randrange(1, 25))) for _ in range(60)]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").withColumn("w", fulltext.tokens(F.col("t")))
+    for query, syntax, plain in (("a", "plain", True), ("a b", "plain", True), ("a a", "plain", False), ("a b c", "plain", False), ("a b", "phrase", True), ("a a", "phrase", True), ("a b a", "phrase", True), ('"a b" or c', "websearch", True), ('"a b" or b', "websearch", False), ("a b -c", "websearch", True), ("a or b or c -d", "websearch", True)):
+        tree = fulltext.parse(query, syntax)
+        assert (fulltext._plain_rank(fulltext._positive(tree), F.col("w")) is not None) is plain
+        got = rows.where(fulltext.matches(tree, F.col("w"))).select("t", fulltext.rank(tree, F.col("w")).alias("r")).collect()
+        assert got
+        for r in got:
+            assert r.r == pytest.approx(fulltext.cover_density(tree, r.t.split()), rel=1e-6), (query, r.t)
+
+
 def test_chunks_end_with_lines():
     assert chunk_spans(b"a\rb\r\nc\n", 4) == [(0, 2), (2, 5), (5, 7)]
     assert chunk_spans(b"ab\r\ncd", 4) == [(0, 4), (4, 6)] and chunk_spans(b"abc\r\nd", 4) == [(0, 4), (4, 6)]

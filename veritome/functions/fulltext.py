@@ -141,10 +141,45 @@ def cover_density(tree, words: list[str]) -> float:
     return total
 
 
+def _positive(tree):
+    """The tree without its NOTs, which covers do not ask for."""
+    if isinstance(tree, And):
+        return _and([_positive(p) for p in tree.parts if not isinstance(p, Not)])
+    return Or(tuple(_positive(p) for p in tree.parts)) if isinstance(tree, Or) else tree
+
+
+def _occurrences(phrase: Phrase, words: Column) -> Column:
+    if len(phrase.words) == 1:
+        return F.size(F.filter(words, lambda w: w == phrase.words[0]))
+    here = lambda w, i: reduce(lambda a, b: a & b, (F.coalesce(F.get(words, i + k) == x, F.lit(False)) for k, x in enumerate(phrase.words)))
+    return F.size(F.filter(words, here))
+
+
+def _plain_rank(tree, words: Column) -> Column | None:
+    """The rank in built-in functions, for phrases, alternatives without a common word, and two words."""
+    parts = tree.parts if isinstance(tree, (And, Or)) else (tree,)
+    if not all(isinstance(p, Phrase) for p in parts) or len(set(_terms(tree))) != sum(len(set(p.words)) for p in parts):
+        return None
+    if not isinstance(tree, And):  # every occurrence is a cover of its own, with nothing in between
+        return reduce(lambda a, b: a + b, (_occurrences(p, words) for p in parts)) * F.lit(WEIGHT)
+    if len(parts) > 2 or any(len(p.words) > 1 for p in parts):
+        return None
+    # Covers of two words are successive places of different ones.
+    one, other = (p.words[0] for p in parts)
+    places = F.filter(F.transform(words, lambda w, i: F.struct(i.alias("i"), (w == one).alias("one"), w.isin(one, other).alias("hit"))), lambda x: x["hit"])
+    start = F.struct(F.lit(0.0).alias("sum"), F.lit(-1).alias("i"), F.lit(False).alias("one"))
+    step = lambda acc, x: F.struct((acc["sum"] + F.when((acc["i"] >= 0) & (acc["one"] != x["one"]), F.lit(WEIGHT) / (x["i"] - acc["i"])).otherwise(0.0)).alias("sum"), x["i"].alias("i"), x["one"].alias("one"))
+    return F.aggregate(places, start, step, lambda acc: acc["sum"])
+
+
 def rank(tree, words: Column) -> Column:
-    """Rank column for rows that match; only several-word queries leave the JVM, in Arrow batches."""
-    if isinstance(tree, Phrase) and len(tree.words) == 1:
-        return (F.size(F.filter(words, lambda w: w == tree.words[0])) * F.lit(WEIGHT)).cast("float").cast("double")
+    """Rank column for rows that match; only queries that mix several words leave the JVM, in Arrow batches."""
+    tree = _positive(tree)
+    if tree is None:
+        return F.lit(0.0)
+    plain = _plain_rank(tree, words)
+    if plain is not None:
+        return plain.cast("float").cast("double")
 
     @F.pandas_udf("double")
     def density(batch: pd.Series) -> pd.Series:
