@@ -10,11 +10,10 @@ and d different ones gives it c / (n + d); the rest, d / (n + d), is the escape
 (method C) to the context one byte shorter.  Exclusion: bytes seen in the longer
 context cannot follow an escape, so their share of the shorter context's
 distribution goes to the others.  Below order 0 all 256 bytes are equally likely.
-The probabilities of all continuations of any context add up to one.  The query's
-trie holds every trained string (``least=1``).  Tables that travel are bounded:
-contexts have at most three bytes, and only strings that hold 2**-20 of the
-training bytes go along; all other occurrences are joined with their exact value.
-Without ``least``, strings of order 3 and 2 below that share are not in the trie.
+The probabilities of all continuations of any context add up to one.  The trie holds
+every trained string.  Tables that travel are bounded: contexts have at most three
+bytes, and only strings that hold 2**-20 of the training bytes go along; all other
+occurrences are joined with their exact value.
 
 Base score: words seen at least 2**-20 of all tokens (at most 2**20 of them) are
 scored in the same pass; every other occurrence is joined with its exact count.
@@ -40,7 +39,7 @@ from veritome.llm.compression import remainder
 
 MODULUS, HELD_OUT = 7, 2
 END = 0xFF
-#: One node, or one word of the broadcast table, for each this many training bytes or tokens.
+#: Strings and words that are less than this part of all training bytes or tokens are joined, not broadcast.
 RESOLUTION = 1 << 20
 #: Keys that a task holds before it hands on what it has summed.
 FLUSH_KEYS = 1 << 21
@@ -206,11 +205,8 @@ def _contexts(strings: DataFrame, ready) -> tuple[np.ndarray, ...]:
     return tuple(table.column(c).to_numpy()[order] for c in ("ctx", "n", "kinds", "p"))
 
 
-def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int | None = None) -> DataFrame:
-    """One row per input row: split, token counts, base score and the model's score.
-
-    The trie has the strings seen ``least`` times; without it, those that hold 2**-20 of the training bytes.
-    """
+def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: split, token counts, base score and the model's score."""
     spark = docs.sparkSession
     count = scratch.cut(counts(docs, id_col, text_col))
     words, strings = count.where(F.col("kind") == WORDS), count.where(F.col("kind") == BYTES)
@@ -219,14 +215,13 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     ends = size(ENDS, "n")
     tokens, distinct = size(WORDS, "n") + ends, size(WORDS, "distinct") + (ends > 0)
     share = max(1, -(-size(BYTES, "n") // RESOLUTION))
-    least = share if least is None else least
     by3 = strings.groupBy(F.col("key").bitwiseAND(0xFFFFFF).alias("key")).agg(F.sum("n").alias("n"))
     by2 = strings.groupBy(F.col("key").bitwiseAND(0xFFFF).alias("key")).agg(F.sum("n").alias("n"))
     keys2, n2 = _pairs(by2)
     dense2 = np.zeros(65536, np.int64)
     dense2[keys2] = n2
     model_key = uuid.uuid4().hex  # workers outlive a call
-    levels = spark.sparkContext.broadcast(Trie(*_pairs(by3.where(F.col("n") >= least)), dense2.reshape(256, 256)))
+    levels = spark.sparkContext.broadcast(Trie(*_pairs(by3), dense2.reshape(256, 256)))
 
     def ready() -> Trie:
         if _tables.get("key") != model_key:
@@ -236,9 +231,9 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
             _tables.update(key=model_key, trie=levels.value)
         return _tables["trie"]
 
-    modelled = strings.where(F.col("n") >= least).select("key", "n")
+    modelled = strings.select("key", "n")
     top = Top(*_contexts(modelled, ready), *_pairs(modelled.where(F.col("n") >= share)))
-    joined = least < share
+    joined = share > 1
     frequent = max(1, -(-tokens // RESOLUTION))
     known, known_n = _pairs(words.where(F.col("n") >= frequent).select("key", "n"))
     known = known.view(np.uint64)
@@ -295,4 +290,4 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_scores(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), least=1)
+    return lm_scores(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))

@@ -194,6 +194,10 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Tagg
     """Trains on the driver; the sample is bounded and chosen in hash order of the ids."""
     ids = [r[0] for r in docs.select(docs[id_col]).where(docs[id_col].isNotNull()).distinct().orderBy(F.xxhash64(id_col), id_col).limit(SAMPLE_DOCS).collect()]
     texts = [] if not ids else [r[1] for r in sorted(docs.where(docs[id_col].isin(ids)).select(docs[id_col], docs[text_col].cast("string")).collect(), key=str) if r[1]]
+    return fit_texts(texts)
+
+
+def fit_texts(texts: list[str]) -> Tagger:
     tagger = Tagger(1 + 2 * len(KINDS))
     tagger.train(*training_set(texts), EPOCHS)
     return tagger
