@@ -4,8 +4,9 @@ Two zstandard dictionaries are trained separately, one on the windows of ordinar
 texts and one on those of toxic texts.  A window is compressed with the ordinary one
 alone and with the toxic one added behind it, so that strings which both know cancel
 out; the bytes saved are the window's gain.  Toxic texts are mostly ordinary, so the
-toxic dictionary is trained again, three times, on those of its windows that gain more than
-all but a few windows of ordinary texts do.
+toxic dictionary is trained again, several times, on those of its windows that gain as
+much as only a few windows of ordinary texts do, and at last to a small size, which
+keeps the strings that many of these windows share.
 
 Thresholds on the gain are quantiles of ordinary windows.  A text's largest gains, the
 number of its windows beyond each threshold and its mean gain are calibrated to a
@@ -31,19 +32,21 @@ from veritome.llm import textkit as K
 MODULUS, HELD_OUT, THRESHOLD = 5, 0, 0.5
 #: Bounds of the training sample: rows a class.
 SAMPLE = {1: 2000, 0: 5000}
-WINDOW, MIN_MATCH = 64, 7
-#: Sizes of the dictionaries, and how the toxic one is trained: runs of about ``k`` bytes chosen by their ``d``-byte strings.
-ORDINARY_BYTES, TOXIC_BYTES = 512 << 10, 3000
-COVER = {"k": 14, "d": 8}
-#: Times that the toxic dictionary is trained again, and the ordinary quantile that its windows must pass.
-ROUNDS, CHOSEN = 3, 99.5
+#: Bytes of the windows that are scored and of the shorter ones that dictionaries are trained on; shortest match.
+WINDOW, TRAINING_WINDOW, MIN_MATCH = 64, 40, 6
+#: How dictionaries of toxic text are trained: runs of about ``k`` bytes chosen by their ``d``-byte strings.
+COVER = {"k": 16, "d": 8}
+#: Bytes of the ordinary dictionary; least and most of the toxic one, and the parts of its training text that it may be: of all toxic windows, and at last of the chosen ones.
+ORDINARY_BYTES, TOXIC_BYTES, SHARE, LAST_SHARE = 512 << 10, (512, 2000, 8192), 180, 32
+#: Times that the toxic dictionary is trained again, and the ordinary quantile that its windows must reach.
+ROUNDS, CHOSEN = 8, 99.8
 #: Ordinary quantiles that are the thresholds of the features.
-THRESHOLDS = (97.0, 99.5)
+THRESHOLDS = (97.0, 99.5, 99.9)
 
 
-def _windows(texts: list[str]) -> list[bytes]:
+def _windows(texts: list[str], size: int = TRAINING_WINDOW) -> list[bytes]:
     """Distinct windows of the texts, so that copies count once."""
-    return list(dict.fromkeys(w for t in texts for w in C.windows(_blank(t.encode()), WINDOW)))
+    return list(dict.fromkeys(w for t in texts for w in C.windows(_blank(t.encode()), size)))
 
 
 def _blank(raw: bytes) -> bytes:
@@ -59,22 +62,24 @@ class Model:
         self._pair = None
         if not toxic or not ordinary:
             return
-        plain = _windows(ordinary[1::2] or ordinary)
+        other = ordinary[1::2] or ordinary
+        plain, training = _windows(other), _windows(toxic[::2])
         self.ordinary = C.trained(_windows(ordinary[::2]), ORDINARY_BYTES)[0]
-        training = _windows(toxic[::2])
-        self._train(training)
-        for _ in range(ROUNDS):
+        fewest, least_bytes, most_bytes = TOXIC_BYTES
+        size = int(np.clip(sum(map(len, training)) // SHARE, least_bytes, most_bytes))
+        self._train(training, size)
+        for k in range(ROUNDS):
             least = np.percentile(self._gains(plain), CHOSEN)
             if chosen := [w for w, gain in zip(training, self._gains(training)) if gain >= least]:
-                self._train(chosen)
-        self.thresholds = np.percentile(self._gains(plain), THRESHOLDS)
+                self._train(chosen, size if k + 1 < ROUNDS else int(np.clip(sum(map(len, chosen)) // LAST_SHARE, fewest, size)))
+        self.thresholds = np.percentile(self._gains(_windows(other, WINDOW)), THRESHOLDS)
         toxic, ordinary = toxic[1::2] or toxic, ordinary[1::2] or ordinary
         x = np.array([self.features(t.encode()) for t in [*toxic, *ordinary]])
         y = np.repeat([1.0, 0.0], [len(toxic), len(ordinary)])
         self.calibration = C.Calibration(x, y, np.ones(len(y)), ridge=0.01)
 
-    def _train(self, windows: list[bytes]) -> None:
-        self.toxic, self._pair = C.trained(windows, TOXIC_BYTES, **COVER)[0], None
+    def _train(self, windows: list[bytes], size: int) -> None:
+        self.toxic, self._pair = C.trained(windows, size, **COVER)[0], None
 
     def __getstate__(self):
         return self.__dict__ | {"_pair": None}
@@ -96,7 +101,7 @@ class Model:
             p = np.zeros(len(offs) - 1)
         else:
             raw = data.tobytes()
-            p = self.calibration(np.array([self.features(raw[a:b]) for a, b in zip(offs[:-1].tolist(), offs[1:].tolist())], float).reshape(len(offs) - 1, 6))
+            p = self.calibration(np.array([self.features(raw[a:b]) for a, b in zip(offs[:-1].tolist(), offs[1:].tolist())], float).reshape(len(offs) - 1, 4 + len(THRESHOLDS)))
         return {"score": p, "predicted": (p >= THRESHOLD).astype(np.int32)}
 
 
