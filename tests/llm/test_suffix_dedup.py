@@ -4,6 +4,7 @@ import numpy as np
 from conftest_llm import ODD, documents, sha
 
 from veritome.llm import induced_sort as I
+from veritome.llm import repeats
 from veritome.llm import suffix_dedup as Q
 
 
@@ -119,3 +120,28 @@ def test_the_largest_id(spark, prose):
     base = prose(1, 40)
     rows = [(Q.LAST, base), (3, base), (None, "x"), (Q.LAST, "y")]
     check(spark, rows)
+
+
+def blob(rank, text, start):
+    arrays = {"length": [len(text)], "places": [1], "document": [0], "start": [start], "rank": [rank], "hash": [rank]}
+    return Q._encode({k: np.array(v) for k, v in arrays.items()} | {"bytes": np.frombuffer(text, np.uint8)})
+
+
+def test_equal_strings_of_many_tasks_are_induced_once(prose):
+    text, shard = prose(1).encode()[:70], Q.Shard()
+    for rank in [5, 3, 9, 3, 7, 11]:
+        shard.add(blob(rank, text, 10 * rank))
+    shard.add(blob(1, text[:60], 0))
+    got = sorted((r["rank"], r["start"], r["end"]) for batch in shard.spans() for r in batch.to_pylist())
+    assert got == [(3, 30, 90), (5, 50, 120), (7, 70, 140), (9, 90, 160), (11, 110, 180)]
+    assert shard.length.size == 2
+
+
+def test_more_repeated_keys_than_one_filter_holds(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "BITS", (1 << 10, 1 << 13))
+    keys = np.sort(np.random.default_rng(1).integers(0, 1 << 63, 10000).astype(np.uint64))
+    many, others = keys[::2], keys[1::2]
+    table = spark.createDataFrame([(int(b.column(0)[i].as_py()), b.column(1)[i].as_py()) for x, y in ((many, True), (others, False)) for b in repeats.by_shard(np.sort(x), np.full(len(x), y), 24) for i in range(b.num_rows)], repeats.SHARD_SCHEMA)
+    found = repeats.repeated_blocks(table, 24)
+    assert len(found.parts) == 8 and found.passes(many).all() and found.passes(others).mean() < 0.1
+    assert repeats.repeated_filter(table).passes(others).mean() > 0.5  # one filter of that size is full

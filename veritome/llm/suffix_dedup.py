@@ -11,8 +11,10 @@ be compared, so the suffixes of the corpus are sorted in independent shards:
    those of its smallest document; for its other documents that already says that
    the whole segment is repeated.  So a passage found in a third of all documents
    costs a shard a few entries a task.
-3. A shard writes what it gets to files and sorts the suffixes of all its segments by
-   external induced sorting (``induced_sort``), in memory of a fixed size.  Suffixes
+3. A shard sorts the strings it gets, a few megabytes at a time; equal ones have equal
+   suffixes and become one, as in step 2.  It writes the others to files and sorts the
+   suffixes of all of them by external induced sorting (``induced_sort``), in memory of
+   a fixed size.  Suffixes
    whose common prefixes reach 50 bytes start with one string; its smallest owner is
    then known, and whatever larger documents have of it goes.
 4. Spans go back to documents by id and text hash, and are cut out.
@@ -193,9 +195,8 @@ def _alike(data: np.ndarray, at: np.ndarray, length: np.ndarray, content: np.nda
         content[odd] = K.mix(content[odd] + odd.astype(np.uint64) + K.U64(1))
 
 
-def _send(narrow: DataFrame, shards: int, wanted: repeats.Filter) -> DataFrame:
+def _send(narrow: DataFrame, shards: int, wanted: repeats.Blocks) -> DataFrame:
     """Blobs of segments for the shards, and spans already known in the task."""
-    shared = narrow.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches):
         held: list = []
@@ -243,7 +244,7 @@ def _send(narrow: DataFrame, shards: int, wanted: repeats.Filter) -> DataFrame:
             data, offs = K.buffers(batch.column(1))
             for lo, base, part, at in pieces(data, offs):
                 a, b, key, row = segments(part, at)
-                ok = np.flatnonzero(shared.value.passes(key))
+                ok = np.flatnonzero(wanted.passes(key))
                 a, b, key, row = a[ok], b[ok], key[ok], row[ok]
                 if len(a):
                     content = K.Prefix(part).of(a, b)
@@ -268,27 +269,56 @@ class Shard:
         self.raw, self.segment = Column(np.uint8), Column(np.uint32)  # bytes, and the segment of each
         self.begin, self.length, self.owner, self.first = Column(np.int64), Column(np.uint8), Column(np.int64), Column(np.int64)
         self.rank, self.hash, self.start = Column(np.int64), Column(np.int64), Column(np.int64)  # places
+        self.known = [Column(np.int64) for _ in range(4)]  # rank, hash, start and end of places that are repeated as a whole
         self.raw.append(np.array([END], np.uint8))
         self.segment.append(np.zeros(1))
+        self.held: list[dict[str, np.ndarray]] = []
+        self.waiting = 0
 
     def add(self, blob: bytes) -> None:
-        part = _decode(blob)
-        length, places, document = part["length"].astype(np.int64), part["places"].astype(np.int64), part["document"]
-        begin = np.cumsum(length + 1) - (length + 1)
+        self.held.append(_decode(blob))
+        self.waiting += sum(x.nbytes for x in self.held[-1].values())
+        if 2 * self.waiting > self.work.memory:
+            self._write()
+
+    def _write(self) -> None:
+        """Sorts the strings that wait, as suffixes of full length: equal ones become one, with the places of their smallest document."""
+        if not self.held:
+            return
+        length, places, raw, start = (np.concatenate([x[k] for x in self.held]) for k in ("length", "places", "bytes", "start"))
+        length, places = length.astype(np.int64), places.astype(np.int64)
+        rank, hashes = (np.concatenate([x[k][x["document"]] for x in self.held]) for k in ("rank", "hash"))
+        self.held, self.waiting = [], 0
+        if not len(length):
+            return
         # A byte that UTF-8 never uses ends each string, so that no common prefix runs on into the next.
-        text = np.full(int((length + 1).sum()), END, np.uint8)
-        text[_ragged(begin, length)] = part["bytes"]
+        table = np.full((len(length), int(length.max()) + 1), END, np.uint8)
+        table[np.arange(table.shape[1]) < length[:, None]] = raw
+        place = np.cumsum(places) - places
+        owner = rank[place]
+        order = np.argsort(owner, kind="stable")
+        strings = table[order]
+        by = np.argsort(strings.view(f"S{table.shape[1]}").ravel(), kind="stable")
+        order, strings = order[by], strings[by]
+        new = np.append(True, (strings[1:] != strings[:-1]).any(1))
+        first = np.flatnonzero(new)
+        stays = owner[order] == owner[order[first]][np.cumsum(new) - 1]
+        rest, kept, one = order[~stays], order[stays], order[first]
+        at = _ragged(place[rest], places[rest])
+        for column, values in zip(self.known, (rank[at], hashes[at], start[at], start[at] + np.repeat(length[rest], places[rest]))):
+            column.append(values)
+        length = length[one]
         self.segment.append(np.repeat(np.arange(self.length.size, self.length.size + len(length)), length + 1))
-        self.begin.append(begin + self.raw.size)
+        self.begin.append(np.cumsum(length + 1) - (length + 1) + self.raw.size)
         self.length.append(length)
-        first = np.cumsum(places) - places
-        self.first.append(first + self.rank.size)
-        rank = part["rank"][document]
-        self.owner.append(rank[first])
-        self.rank.append(rank)
-        self.hash.append(part["hash"][document])
-        self.start.append(part["start"])
-        self.raw.append(text)
+        many = np.add.reduceat(places[kept], np.flatnonzero(new[stays]))
+        self.first.append(np.cumsum(many) - many + self.rank.size)
+        self.owner.append(owner[one])
+        at = _ragged(place[kept], places[kept])
+        self.rank.append(rank[at])
+        self.hash.append(hashes[at])
+        self.start.append(start[at])
+        self.raw.append(strings[first][np.arange(table.shape[1]) <= length[:, None]])
 
     def _windows(self) -> tuple[np.ndarray, np.ndarray]:
         """Places with 50 bytes before their string ends, in order, and a number for what they start with."""
@@ -337,8 +367,12 @@ class Shard:
 
     def spans(self) -> Iterator[pa.RecordBatch]:
         """Every place loses the windows of its segment that a smaller document has."""
+        self._write()
         if not self.length.size:
             return
+        known = [x.mapped() for x in self.known]
+        for lo in range(0, len(known[0]), BLOCK):
+            yield from (batch.select(["rank", "hash", "start", "end"]) for batch in _span_batches(*(x[lo : lo + BLOCK] for x in known)))
         marks, begin, length, first = self._repeated(), self.begin.mapped(), self.length.mapped(), self.first.mapped()
         rank, hashes, start = self.rank.mapped(), self.hash.mapped(), self.start.mapped()
         for lo in range(0, len(length), BLOCK):
@@ -376,7 +410,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield from shard.spans()
 
     with scratch.small_batches(spark):
-        wanted = repeats.repeated_filter(_minimizers(narrow, shards))
+        wanted = repeats.repeated_blocks(_minimizers(narrow, shards), shards)
         scratch.free(spark)
         sent = scratch.cut(_send(narrow, SHARDS_A_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions")), wanted))
 
