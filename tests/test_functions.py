@@ -126,3 +126,16 @@ def test_chunks_are_as_long_as_they_can_be(text, most):
         assert 0 < b - a <= most and raw[a:b].decode() is not None
         fitting = [e for e in ends if a < e <= a + most]
         assert b == fitting[-1] if fitting else b + 4 > a + most
+
+
+def test_chunks_leave_a_batch_in_pieces():
+    import pyarrow as pa
+
+    from veritome.sources import chunk
+
+    texts = ["x\n" * 200_000, None, "", "é\n", "ab\n" * 9]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(5)), pa.array(texts)], ["i", "t"])
+    made = list(chunk.chunked(iter([batch]), 4, ["doc_id", "chunk", "start_byte", "end_byte"]))
+    assert len(made) > 5 and max(b.num_rows for b in made) < 2 * chunk.CHUNK_ROWS
+    want = [(i, k, a, b) for i, text in enumerate(texts) for k, (a, b) in enumerate(chunk_spans((text or "").encode(), 4))]
+    assert [tuple(r.values()) for b in made for r in b.to_pylist()] == want
