@@ -249,6 +249,19 @@ _SPAN = shape({"start_byte": uint(INT4), "end_byte": uint(INT4)})
 _STAGE = {"asset_id": uuid, "path": text(MAX_PATH_BYTES), "ingestion_key": text(MAX_KEY_BYTES), "expected_revision": uint(INT8)}
 
 
+def span_faults(start: np.ndarray, end: np.ndarray, raw: bytes, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each span: 0, or 1 if it is not within the source, 2 if it cuts a character, 3 if it was given before; whether it and those before hold too much."""
+    inside = (0 <= start) & (start < end) & (end <= len(raw))
+    mid_character = np.zeros(len(raw) + 1, bool)
+    mid_character[:-1] = np.frombuffer(raw, np.int8) < -64  # 10xxxxxx
+    torn = np.zeros(len(start), bool)
+    torn[inside] = mid_character[start[inside]] | mid_character[end[inside]]
+    _, first = np.unique(start * (INT4 + 1) + end, return_index=True)
+    repeated = np.ones(len(start), bool)
+    repeated[first] = False
+    return np.select([~inside, torn, repeated], [1, 2, 3], 0), np.cumsum(end - start) > most
+
+
 def span_table(items: list, raw: bytes, most: int) -> tuple[tuple[int, int], ...]:
     """The spans of a source as pairs; the first one that breaks a rule is refused, by the first rule it breaks."""
     read, unreadable = [], None
@@ -259,18 +272,10 @@ def span_table(items: list, raw: bytes, most: int) -> tuple[tuple[int, int], ...
             unreadable = error
             break
     start, end = (np.array([getattr(s, k) for s in read], np.int64) for k in ("start_byte", "end_byte"))
-    inside = (start < end) & (end <= len(raw))
-    mid_character = np.zeros(len(raw) + 1, bool)
-    mid_character[:-1] = np.frombuffer(raw, np.int8) < -64  # 10xxxxxx
-    torn = np.zeros(len(read), bool)
-    torn[inside] = mid_character[start[inside]] | mid_character[end[inside]]
-    _, first = np.unique(start * (INT4 + 1) + end, return_index=True)
-    repeated = np.ones(len(read), bool)
-    repeated[first] = False
-    heavy = np.cumsum(end - start) > most
-    for i in np.flatnonzero(~inside | torn | repeated | heavy)[:1].tolist():
-        if not inside[i] or torn[i] or repeated[i]:
-            why = f"not within 0 to {len(raw)}" if not inside[i] else "cuts a character" if torn[i] else "given before"
+    faulty, heavy = span_faults(start, end, raw, most)
+    for i in np.flatnonzero((faulty > 0) | heavy)[:1].tolist():
+        if faulty[i]:
+            why = ("", f"not within 0 to {len(raw)}", "cuts a character", "given before")[faulty[i]]
             raise invalid(f"spans[{i}]", f"spans[{i}]: {why}")
         raise limit_exceeded("max_span_bytes_total", most, f"the spans together may hold {most} bytes")
     if unreadable:

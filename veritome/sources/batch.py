@@ -9,21 +9,25 @@ others are joined and ranked, so null keys never meet in one task.
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veritome.api import Evidence
 from veritome.errors import EvidenceError
 from veritome.functions import fulltext, utf8
-from veritome.requests import MAX_KEY_BYTES, MAX_PATH_BYTES, MAX_REASON_BYTES, MAX_SPANS, MAX_TAG_BYTES, SPAN_BYTES_FACTOR, Config, span_table
+from veritome.requests import MAX_KEY_BYTES, MAX_PATH_BYTES, MAX_REASON_BYTES, MAX_SPANS, MAX_TAG_BYTES, SPAN_BYTES_FACTOR, Config, span_faults
 from veritome.sources.chunk import chunk_spans
 from veritome.sources.store import Changes, Snapshot
 
 UUID_FORM = "^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
 SPANS = "array<struct<start_byte:int,end_byte:int>>"
+#: Bytes of text that a task holds as spans.
+SPAN_BATCH = 4 << 20
 
 
 def _now() -> Column:
@@ -71,92 +75,127 @@ def _with_spans(rows: DataFrame, span_bytes: int, given: bool, config: Config) -
         return sources.map(lambda source: [{"start_byte": a, "end_byte": b} for a, b in chunk_spans(source.encode(), span_bytes)])
 
     @F.pandas_udf("string")
-    def flaw(sources: pd.Series, spans: pd.Series) -> pd.Series:
-        return pd.Series([_span_flaw(source, items, SPAN_BYTES_FACTOR * config.limits.max_source_bytes) for source, items in zip(sources, spans)], dtype=object)
+    def flaw(sources: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
+        return pd.Series([_span_flaw(source.encode(), a, b, SPAN_BYTES_FACTOR * config.limits.max_source_bytes) for source, a, b in zip(sources, starts, ends)], dtype=object)
 
     if not given:
         return rows.withColumn("spans", cut("source")).withColumn("span_flaw", F.when(F.size("spans") > MAX_SPANS, "max_spans_per_version"))
     rows = rows.withColumn("spans", F.coalesce("spans", F.array().cast(SPANS)))
-    return rows.withColumn("span_flaw", F.when(F.size("spans") > MAX_SPANS, "max_spans_per_version").otherwise(flaw("source", "spans")))
+    return rows.withColumn("span_flaw", F.when(F.size("spans") > MAX_SPANS, "max_spans_per_version").otherwise(flaw("source", "spans.start_byte", "spans.end_byte")))
 
 
-def _span_flaw(source: str, items, most: int) -> str | None:
-    try:
-        span_table([{k: int(x[k]) for k in ("start_byte", "end_byte")} for x in items], source.encode(), most)
-    except EvidenceError as error:
-        return "max_span_bytes_total" if error.reason == "limit_exceeded" else "spans"
+def _span_flaw(raw: bytes, starts: Iterable, ends: Iterable, most: int) -> str | None:
+    """The rule that the first faulty span breaks; one without a start or end is faulty."""
+    start, end = (np.nan_to_num(np.array(x, np.float64), nan=-1).astype(np.int64) for x in (starts, ends))
+    faulty, heavy = span_faults(start, end, raw, most)
+    for i in np.flatnonzero((faulty > 0) | heavy)[:1]:
+        return "spans" if faulty[i] else "max_span_bytes_total"
     return None
 
 
+def _pairs() -> Column:
+    """Spans as a request writes them."""
+    return F.array_join(F.transform("spans", lambda x: F.concat(F.lit("["), x["start_byte"].cast("string"), F.lit(","), x["end_byte"].cast("string"), F.lit("]"))), ",")
+
+
 def _request_sha256() -> Column:
     """The digest that the single call has for the same request."""
     path = F.to_json(F.struct("path"))
-    pairs = F.array_join(F.transform("spans", lambda x: F.concat(F.lit("["), x["start_byte"].cast("string"), F.lit(","), x["end_byte"].cast("string"), F.lit("]"))), ",")
     body = F.concat(
         F.lit('{"asset_id":"'), "asset_id", F.lit('","expected_revision":'), F.col("base_revision").cast("string"), F.lit(","), F.substring(path, F.lit(2), F.length(path) - 2),
-        F.lit(',"source_sha256":"'), "source_sha256", F.lit('","spans":['), pairs, F.lit("]}"),
+        F.lit(',"source_sha256":"'), "source_sha256", F.lit('","spans":['), "pairs", F.lit("]}"),
     )
     return utf8.sha256_hex(body)
 
 
 def _span_rows(versions: DataFrame) -> DataFrame:
-    """(version_id, key, start_byte, end_byte, text) of versions with their spans; a source is encoded once."""
+    """(version_id, key, start_byte, end_byte, text) of versions with their spans, a few megabytes at a time; a source is encoded once."""
+    names = ["version_id", "key", "start_byte", "end_byte", "text"]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for version, key, source, spans in batch.itertuples(index=False, name=None):
-                raw = source.encode()
-                rows = [(version, key, int(x["start_byte"]), int(x["end_byte"]), raw[x["start_byte"] : x["end_byte"]].decode()) for x in spans]
-                if rows:
-                    yield pd.DataFrame(rows, columns=["version_id", "key", "start_byte", "end_byte", "text"])
-
-    return versions.select("version_id", "ingestion_key", "source", "spans").mapInPandas(run, "version_id string, key string, start_byte int, end_byte int, text string")
+            sources = batch.column("source").cast(pa.binary())
+            ids, keys = batch.column("version_id"), batch.column("ingestion_key")
+            first, last, of, texts, size = [], [], [], [], 0
+
+            def made() -> pa.RecordBatch:
+                at = pa.array(of, pa.int64())
+                return pa.RecordBatch.from_arrays([ids.take(at), keys.take(at), pa.array(first, pa.int32()), pa.array(last, pa.int32()), pa.array(texts, pa.binary()).cast(pa.string())], names)
+
+            for i, (source, starts, ends) in enumerate(zip(sources, batch.column("starts"), batch.column("ends"))):
+                raw = source.as_py()
+                for a, b in zip(starts.as_py(), ends.as_py()):
+                    first.append(a)
+                    last.append(b)
+                    of.append(i)
+                    texts.append(raw[a:b])
+                    size += b - a
+                    if size > SPAN_BATCH:
+                        yield made()
+                        first, last, of, texts, size = [], [], [], [], 0
+            if of:
+                yield made()
+
+    rows = versions.select("version_id", "ingestion_key", "source", F.col("spans.start_byte").alias("starts"), F.col("spans.end_byte").alias("ends"))
+    return rows.mapInArrow(run, "version_id string, key string, start_byte int, end_byte int, text string")
 
 
 def stage(evidence: Evidence, corpus: str, docs: DataFrame, spans: DataFrame | None = None, span_bytes: int = 4096) -> DataFrame:
-    """Keeps versions of (asset_id, path, source, ingestion_key[, expected_revision]) rows; (ingestion_key, version_id, problem).
+    """Keeps versions of (asset_id, path, source, ingestion_key[, expected_revision][, spans]) rows; (ingestion_key, version_id, problem).
+
+    Spans are those of ``spans`` (ingestion_key, start_byte, end_byte), else the array that a
+    row brings, else whole lines of at most ``span_bytes``.  Without ``expected_revision`` a version
+    is based on its asset's revision now.  The same request under one key changes nothing.
 
-    Spans are those of ``spans`` (ingestion_key, start_byte, end_byte), else whole
-    lines of at most ``span_bytes``.  Without ``expected_revision`` a version is based
-    on its asset's revision now.  The same request under one key changes nothing.
+    Rows are judged without their sources; these move once, to the table of versions.
     """
 
     def body(s: Snapshot, c: Changes, config: Config) -> DataFrame:
         expected = F.col("expected_revision") if "expected_revision" in docs.columns else F.lit(None)
-        rows = docs.select(F.lower("asset_id").alias("asset_id"), "path", "source", "ingestion_key", expected.cast("long").alias("expected"))
+        own = [F.col("spans").cast(SPANS).alias("spans")] if spans is None and "spans" in docs.columns else []
+        rows = docs.select(F.lower("asset_id").alias("asset_id"), "path", "source", "ingestion_key", expected.cast("long").alias("expected"), *own)
         assets = s.table("assets").select("asset_id", "content_revision")
         before = s.table("versions").select("ingestion_key", F.col("request_sha256").alias("old_sha256"), F.col("version_id").alias("old_id"))
 
-        def judge(rows: DataFrame) -> DataFrame:
+        def cut(rows: DataFrame) -> DataFrame:
             rows = rows.withColumn("source_sha256", utf8.sha256_hex(F.col("source")))
             if spans is not None:
                 lists = spans.groupBy("ingestion_key").agg(F.sort_array(F.collect_list(F.struct("start_byte", "end_byte"))).cast(SPANS).alias("spans"))
                 rows = rows.join(lists, "ingestion_key", "left")
-            rows = _with_spans(rows, span_bytes, spans is not None, config).join(assets, "asset_id", "left").join(before, "ingestion_key", "left")
-            rows = rows.withColumn("base_revision", F.coalesce("expected", "content_revision", F.lit(0).cast("long")))
-            rows = rows.withColumn("request_sha256", _request_sha256()).withColumn("first", _first("ingestion_key", "request_sha256"))
-            return rows.withColumn("problem", (
-                F.when(F.col("span_flaw").isNotNull(), F.col("span_flaw"))
-                .when((F.col("old_sha256") != F.col("request_sha256")) | ~F.col("first"), "ingestion_key_reused")
-                .when(F.col("content_revision").isNull() & (F.col("base_revision") != 0), "revision_conflict")
-            )).withColumn("version_id", F.coalesce("old_id", _id("version", "ingestion_key")))
+            return _with_spans(rows, span_bytes, spans is not None or bool(own), config).withColumn("problem", F.lit(None).cast("string"))
 
         rows = _sift(rows, [
             (F.col("source").isNull() | F.col("path").isNull() | F.col("ingestion_key").isNull() | F.col("asset_id").isNull(), "missing_field"),
             (~F.col("asset_id").rlike(UUID_FORM), "asset_id"), (_text_flaw("path", MAX_PATH_BYTES), "path"), (_text_flaw("ingestion_key", MAX_KEY_BYTES), "ingestion_key"),
             (F.octet_length("source") > config.limits.max_source_bytes, "max_source_bytes"), (F.instr("source", "\0") > 0, "source"), (F.col("expected") < 0, "expected_revision"),
-        ], judge)
-        rows = c.kept(rows)  # asked for once here, read by all that follows
-        now, new = _now(), rows.where("problem is null and old_id is null")
-        c.append("versions", new.select(
+        ], cut)
+        rows = c.kept(rows.withColumn("row", F.monotonically_increasing_id()))  # asked for once here, read by all that follows
+        sound = rows.where("problem is null")
+        judged = sound.select("row", "asset_id", "path", "ingestion_key", "expected", "source_sha256", "span_flaw", _pairs().alias("pairs")).join(assets, "asset_id", "left").join(before, "ingestion_key", "left")
+        judged = judged.withColumn("base_revision", F.coalesce("expected", "content_revision", F.lit(0).cast("long")))
+        judged = judged.withColumn("request_sha256", _request_sha256()).withColumn("first", _first("ingestion_key", "request_sha256"))
+        judged = judged.withColumn("problem", (
+            F.when(F.col("span_flaw").isNotNull(), F.col("span_flaw"))
+            .when((F.col("old_sha256") != F.col("request_sha256")) | ~F.col("first"), "ingestion_key_reused")
+            .when(F.col("content_revision").isNull() & (F.col("base_revision") != 0), "revision_conflict")
+        )).withColumn("version_id", F.coalesce("old_id", _id("version", "ingestion_key")))
+        judged = c.kept(judged.drop("pairs", "span_flaw", "source_sha256", "path"))
+        fits = F.col("problem").isNull() & F.col("old_id").isNull()
+        now, new = _now(), judged.where(fits)
+        texts = sound.select("row", "path", "source", "source_sha256", "ingestion_key", "spans")
+        c.append("versions", texts.drop("spans").join(new.drop("ingestion_key"), "row").select(
             "version_id", "asset_id", "path", "source", "source_sha256", F.octet_length("source").alias("byte_length"), "ingestion_key", "request_sha256", "base_revision",
             F.lit(evidence.user).alias("created_by"), now.alias("created_at"),
         ))
-        c.append("spans", _span_rows(new).select(_id("span", "key", F.col("start_byte").cast("string"), F.col("end_byte").cast("string")).alias("evidence_id"), "version_id", "start_byte", "end_byte", "text", fulltext.tokens(F.col("text")).alias("tokens")))
+        # A new version's id follows from its key.  As a rule few rows are left out, so they are broadcast by their size.
+        others = c.kept(judged.where(~fits).select("row"))
+        fresh_texts = texts.join(others, "row", "left_anti").withColumn("version_id", _id("version", "ingestion_key"))
+        c.append("spans", _span_rows(fresh_texts).select(_id("span", "key", F.col("start_byte").cast("string"), F.col("end_byte").cast("string")).alias("evidence_id"), "version_id", "start_byte", "end_byte", "text", fulltext.tokens(F.col("text")).alias("tokens")))
         fresh = new.where("content_revision is null").select("asset_id").distinct()
         zero = F.lit(0).cast("long")
         c.append("assets", fresh.select("asset_id", F.lit(None).alias("current_version_id"), F.lit(None).alias("current_path"), zero.alias("content_revision"), zero.alias("annotation_revision"), F.lit(None).alias("retired_at"), now.alias("created_at")))
-        return rows.select("ingestion_key", F.when(F.col("problem").isNull(), F.col("version_id")).alias("version_id"), "problem")
+        told = judged.select("ingestion_key", F.when(F.col("problem").isNull(), F.col("version_id")).alias("version_id"), "problem")
+        return told.unionByName(rows.where("problem is not null").select("ingestion_key", F.lit(None).cast("string").alias("version_id"), "problem"))
 
     return _run(evidence, corpus, body)
 

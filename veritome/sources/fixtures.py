@@ -14,7 +14,10 @@ from __future__ import annotations
 
 from uuid import uuid4
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veritome.api import Evidence
@@ -46,12 +49,24 @@ def _lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return last.withColumn("published", F.when(F.col("asset_no") % 3 == 0, F.col("last") - 1).otherwise(F.col("last")))
 
 
-def line_spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, line_no, start_byte, end_byte, text) of non-empty lines."""
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    ends = F.sum(F.octet_length("line") + 1).over(Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0))
-    placed = lines.withColumn("after", ends).where("line <> ''")
-    return placed.select("doc_id", "line_no", (F.col("after") - 1 - F.octet_length("line")).cast("int").alias("start_byte"), (F.col("after") - 1).cast("int").alias("end_byte"), F.col("line").alias("text"))
+def line_ranges(texts: pa.Array) -> pa.Array:
+    """The byte ranges of a text's non-empty lines, in order; all texts of a batch at once."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    data = np.frombuffer(b"".join(pc.fill_null(texts.cast(pa.binary()), b"").to_pylist()), np.uint8)
+    at = np.append(0, np.cumsum(sizes))
+    breaks, every = np.flatnonzero(data == 10), np.arange(len(sizes))
+    owner = np.append(every, np.searchsorted(at, breaks, "right") - 1)
+    ordered = lambda places: places[np.lexsort((places, owner))]
+    start, end, owner = ordered(np.append(at[:-1], breaks + 1)), ordered(np.append(at[1:], breaks)), np.sort(owner)
+    some = start < end
+    start, end = ((x - at[owner])[some].astype(np.int32) for x in (start, end))
+    offsets = np.append(0, np.cumsum(np.bincount(owner[some], minlength=len(sizes)))).astype(np.int32)
+    return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([start, end], ["start_byte", "end_byte"]))
+
+
+def line_spans(text: str) -> Column:
+    """``line_ranges`` of a text column."""
+    return F.arrow_udf(line_ranges, batch.SPANS)(text)
 
 
 def corpus(spark: SparkSession, sf_dir: str, whole: bool = False) -> tuple[Evidence, str]:
@@ -86,8 +101,7 @@ def _make_lines(evidence: Evidence, name: str, sf_dir: str) -> None:
     version = batch._id("version", "ingestion_key").alias("version_id")
     for rev in range(1, VERSIONS + 1):
         some = rows.where(F.col("rev") == rev)
-        spans = line_spans(some.select("doc_id", F.col("source").alias("text"))).select(F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("ingestion_key"), "start_byte", "end_byte")
-        batch.stage(evidence, name, some, spans)
+        batch.stage(evidence, name, some.withColumn("spans", line_spans("source")))
         batch.publish(evidence, name, some.join(life.select("asset_no", "published"), "asset_no").where("rev <= published").select(version))
     batch.retire(evidence, name, life.where("asset_no % 7 = 0").select(_key("a:", F.col("asset_no")).alias("asset_id"), F.col("published").alias("expected_revision")))
     batch.purge(evidence, name, rows.where("asset_no % 5 = 0 and rev = 1").select(version, F.lit("retention").alias("reason")))
@@ -114,11 +128,15 @@ def _make_whole(evidence: Evidence, name: str, sf_dir: str) -> None:
 
 def _relations(docs: DataFrame) -> DataFrame:
     """``follows``: a line and the next one; ``copy_of``: the first line of a copy and that of the first equal text."""
-    lines = line_spans(docs)
-    ids = lines.select("doc_id", "line_no", batch._id("span", F.concat(F.lit("doc:"), F.col("doc_id").cast("string")), F.col("start_byte").cast("string"), F.col("end_byte").cast("string")).alias("id"))
-    following = F.lead("id").over(Window.partitionBy("doc_id").orderBy("line_no"))
-    follows = ids.select(F.col("id").alias("source_evidence_id"), F.lit("follows").alias("kind"), following.alias("target_evidence_id")).where("target_evidence_id is not null")
-    first_line = ids.groupBy("doc_id").agg(F.min_by("id", "line_no").alias("id"))
+    key = F.concat(F.lit("doc:"), F.col("doc_id").cast("string"))
+    spans = docs.select("doc_id", key.alias("key"), line_spans("text").alias("spans"))
+    span_id = lambda x: batch._id("span", "key", x["start_byte"].cast("string"), x["end_byte"].cast("string"))
+    ids = spans.where(F.size("spans") > 1).select(F.transform("spans", span_id).alias("ids"))
+    pairs = F.arrays_zip(F.slice("ids", F.lit(1), F.size("ids") - 1).alias("a"), F.slice("ids", F.lit(2), F.size("ids") - 1).alias("b"))
+    follows = ids.select(F.explode(pairs).alias("p")).select(F.col("p.a").alias("source_evidence_id"), F.lit("follows").alias("kind"), F.col("p.b").alias("target_evidence_id"))
+    rest = docs.select("doc_id", key.alias("key"), F.octet_length("text").alias("n"), F.ltrim("text", F.lit("\n")).alias("rest")).where("rest <> ''").withColumn("start_byte", F.col("n") - F.octet_length("rest"))
+    first = F.struct("start_byte", (F.col("start_byte") + F.octet_length(F.substring_index("rest", "\n", 1))).alias("end_byte"))
+    first_line = rest.select("doc_id", span_id(first).alias("id"))
     digests = docs.select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"))
     firsts = digests.groupBy("digest").agg(F.min("doc_id").alias("first_doc"))
     copies = digests.join(firsts, "digest").where("doc_id <> first_doc").select("doc_id", "first_doc").join(first_line, "doc_id")
