@@ -320,3 +320,18 @@ def test_set_based_staging_takes_the_spans_of_a_row(store):
         raw, at = (r.t or "").encode(), 0
         want = [(at := at + len(x) + 1) and (at - 1 - len(x), at - 1) for x in raw.split(b"\n")]
         assert [tuple(x) for x in r.s] == [(a, b) for a, b in want if a < b]
+
+
+def test_a_resolve_reads_whole_only_the_files_that_hold_its_rows(store):
+    from veritome.sources import batch
+
+    store.init_collection("files", {})
+    for k, asset in enumerate((A, B)):
+        batch.stage(store, "files", store.spark.createDataFrame([(asset, f"p{k}", f"text {k}", f"k{k}")], "asset_id string, path string, source string, ingestion_key string"))
+    s = store._store("files").snapshot()
+    span = s.rows("spans", "text = 'text 1'", "evidence_id", "version_id")[0]
+    found = s.holding("versions", "version_id", span["version_id"])
+    assert len(found.inputFiles()) == 1 < len(s.table("versions").inputFiles()) and [r.source for r in found.collect()] == ["text 1"]
+    assert s.holding("versions", "version_id", A).collect() == [] and s.holding("tombstones", "version_id", A).collect() == []
+    assert '"text":"text 1"' in store.resolve("files", span["evidence_id"]) and '"status":"staged"' in store.resolve("files", span["evidence_id"])
+    assert "not_found" in store.resolve("files", A)

@@ -9,6 +9,7 @@ from __future__ import annotations
 import datetime as dt
 import threading
 import uuid as uuids
+from dataclasses import replace
 from typing import Any
 
 from pyspark.sql import SparkSession
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from veritome.errors import CANCELLED, FORBIDDEN, INVALID, EvidenceError, invalid, precondition, revision_conflict, unique, unknown
 from veritome.functions import fulltext
 from veritome.operators.tables import Tables, version_status
-from veritome.plans.compile import compile_plan
+from veritome.plans.compile import compile_plan, fetched
 from veritome.plans.plan import parse_plan
 from veritome.render import fit, render_query, render_resolve
 from veritome.requests import (
@@ -328,17 +329,28 @@ class Evidence:
             stats = [r.asDict() for r in compiled.stats().orderBy("node").collect()]
         return render_query(plan, results, edges, stats, "ready" if config.embedding_model else "not_configured")
 
+    @staticmethod
+    def _resolved(s: Snapshot, evidence_id: str, max_source_bytes: int) -> list:
+        """The span's row with its version, status and tombstone; tables are searched by key, so none is moved."""
+        span = fetched(s.holding("spans", "evidence_id", evidence_id).drop("tokens"))
+        if not (near := span.select("version_id").collect()):
+            return []
+        # A source over the limit stays where it is.
+        source = F.when(F.octet_length("source") <= max_source_bytes, F.col("source"))
+        version_id = near[0].version_id
+        version = fetched(s.holding("versions", "version_id", version_id).withColumn("source_octets", F.octet_length("source")).withColumn("source", source))
+        t, mine = s.tables(), F.col("version_id") == version_id
+        assets = t.assets.where(F.col("asset_id").isin([r.asset_id for r in version.select("asset_id").collect()]))
+        t = replace(t, versions=version, assets=fetched(assets), publications=fetched(t.publications.where(mine)), tombstones=fetched(t.tombstones.where(mine)))
+        rows = span.join(version.drop("asset_id", "path"), "version_id").join(version_status(t), "version_id").join(t.tombstones, "version_id", "left")
+        return rows.collect()
+
     def resolve(self, corpus: str, evidence_id: Any) -> str:
         """One span's exact bytes, verified, or why there are none."""
         s = self._store(corpus).snapshot()
         limits = self._config(s).limits
         wanted = uuid(evidence_id, "evidence_id")
-        t = s.tables()
-        span = t.spans.where(F.col("evidence_id") == wanted).drop("tokens")
-        rows = span.join(t.versions.drop("asset_id", "path"), "version_id").join(version_status(t), "version_id").join(t.tombstones, "version_id", "left")
-        # A source over the limit stays where it is.
-        source = F.when(F.octet_length("source") <= limits.max_source_bytes, F.col("source"))
-        found = rows.withColumn("source_octets", F.octet_length("source")).withColumn("source", source).collect()
+        found = self._resolved(s, wanted, limits.max_source_bytes)
         row = found[0].asDict() if found else None
         if row and row["purged_at"]:
             row["purged_at"] = _stamp(row["purged_at"])
